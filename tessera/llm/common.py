@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -86,6 +87,13 @@ class Store:
         with self.fs.open_input_stream(f"{self.root}/{name}") as f:
             return f.read()
 
+    def read_at(self, name: str, at: int, size: int) -> bytes:
+        if self.local:
+            with open(f"{self.root}/{name}", "rb") as f:
+                return os.pread(f.fileno(), size, at)
+        with self.fs.open_input_file(f"{self.root}/{name}") as f:
+            return f.read_at(size, at)
+
     def memmap(self, name: str, dtype: str):
         """A read-only array over the file; memory-mapped where the store is a mounted file system."""
         import numpy as np
@@ -122,7 +130,7 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
 
 # --- blocks: bounded pieces of a text table kept on shared storage -----------------------
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def write_block(uri: str, name: str, ids: list, texts: list[bytes]) -> None:
@@ -139,6 +147,34 @@ def read_block(uri: str, name: str) -> tuple[list, list[bytes]]:
     return table.column("doc_id").to_pylist(), table.column("text").to_pylist()
 
 
+class Packets:
+    """Compressed pieces of one file on shared storage, each found by its place: a shuffle's payload that need not pass through the JVM."""
+
+    def __init__(self, uri: str, name: str):
+        self.stream, self.commit = Store(uri).open_write(name)
+        self.at = 0
+
+    def add(self, parts: list[bytes]) -> tuple[int, int]:
+        """(place, size) of the packet."""
+        sizes = struct.pack(f"<{len(parts)}q", *(len(p) for p in parts))
+        raw = b"".join([sizes, *parts])
+        packet = struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+        self.stream.write(packet)
+        at, self.at = self.at, self.at + len(packet)
+        return at, len(packet)
+
+
+def read_packet(uri: str, name: str, at: int, size: int, n: int) -> list[bytes]:
+    """The n parts of a packet."""
+    packet = Store(uri).read_at(name, at, size)
+    raw = pa.decompress(memoryview(packet)[8:], struct.unpack_from("<q", packet)[0], codec="zstd", asbytes=True)
+    out, here = [], 8 * n
+    for k in struct.unpack_from(f"<{n}q", raw):
+        out.append(raw[here : here + k])
+        here += k
+    return out
+
+
 def blocks_of(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     """Regroup the rows of a task into blocks of about limit bytes (one long text may exceed it)."""
     ids: list = []

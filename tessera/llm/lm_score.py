@@ -125,7 +125,7 @@ def scores(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF
                         yield pa.RecordBatch.from_pydict({"block": [block], "range": pa.array([r], pa.int32()), "ord": pa.array([order], pa.int32()), "h": [_planes(h[i:j])], "n": [_small(n[i:j])], "n_words": [len(words)]})
 
     packets = materialize(as_bytes(docs).mapInArrow(ask, "block string, range int, ord int, h binary, n binary, n_words long"), f"{uri}/asked")
-    total = packets.where("range = 0 and ord = 1").agg(F.sum("n_words")).first()[0] or 0
+    total, n_blocks = packets.where("range = 0 and ord = 1").agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.greatest(F.count("*"), F.lit(1))).first()
 
     def answer(table: pa.Table) -> pa.Table:
         """All packets of one range and order: their sums, told to each packet."""
@@ -139,7 +139,7 @@ def scores(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF
         told = [_small(full[e - len(h) : e]) for e, h in zip(ends, hashes, strict=True)]
         return pa.table({"block": table.column("block"), "range": table.column("range"), "ord": table.column("ord"), "n": pa.array(told, pa.binary())})
 
-    answers = materialize(packets.groupBy("range", "ord").applyInArrow(answer, "block string, range int, ord int, n binary"), f"{uri}/answers")
+    answers = materialize(packets.repartition(2 * ranges, "range", "ord").groupBy("range", "ord").applyInArrow(answer, "block string, range int, ord int, n binary"), f"{uri}/answers")
     drop_dir(spark, f"{uri}/asked")
 
     def score(table: pa.Table) -> pa.Table:
@@ -167,7 +167,7 @@ def scores(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF
             "score_micro": pa.array(np.diff(sums[starts]), pa.int64()),
         })
 
-    return answers.groupBy("block").applyInArrow(score, "doc_id long, n_words long, n_backoff long, score_micro long")
+    return answers.repartition(n_blocks, "block").groupBy("block").applyInArrow(score, "doc_id long, n_words long, n_backoff long, score_micro long")
 
 
 ORACLE = """

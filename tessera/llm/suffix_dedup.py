@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, blocks_of, drop_dir, materialize, partition_id, read_block, shared_dir, write_block
+from .common import Packets, as_bytes, blocks_of, drop_dir, materialize, partition_id, read_block, read_packet, shared_dir, write_block
 
 LENGTH, GRAM = 200, 32
 HOT = 100_000
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 12 << 20
 FAN_IN = 64
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 22) - 1)
 
@@ -207,34 +207,42 @@ def repeated_strings(group: list[Suffix], length: int) -> Iterator[tuple[Suffix,
 
     group: the different suffixes of one anchor hash in order; shared: bytes from the anchor on shared with the one before.
     """
+    if len(group) == 1 and len(group[0].places) < 2:
+        return
+    by_before = sorted(range(len(group)), key=lambda i: group[i].before)
+    left = [0] * (len(group) + 1)  # between neighbours in the order of what stands before the anchor
+    for k in range(1, len(group)):
+        left[k] = common(group[by_before[k - 1]].before, group[by_before[k]].before)
+    reach = [0] * len(group)
+    for k, i in enumerate(by_before):
+        reach[i] = max(left[k], left[k + 1])
     open_ones = []
     for i, s in enumerate(group):
         low, high = length - len(s.after), len(s.before)
         if len(s.places) > 1:
             yield s, low, high
             continue
-        most = max(s.shared if i else 0, group[i + 1].shared if i + 1 < len(group) else 0)
-        low = max(low, length - most)
+        to_next = group[i + 1].shared if i + 1 < len(group) else 0
+        low, high = max(low, length - max(s.shared if i else 0, to_next)), min(high, reach[i])
         if low > high:
             continue
-        settled = False
-        for j, n in ((i - 1, s.shared), (i + 1, group[i + 1].shared if i + 1 < len(group) else 0)):
+        for j, n in ((i - 1, s.shared), (i + 1, to_next)):
             if 0 <= j < len(group) and length - n <= low and common(s.before, group[j].before) >= high:
                 yield s, low, high
-                settled = True
                 break
-        if not settled:
+        else:
             open_ones.append((s, low, high))
     if not open_ones:
         return
-    for d in range(min(x[1] for x in open_ones), max(x[2] for x in open_ones) + 1):
-        need = [s for s, low, high in open_ones if low <= d <= high]
-        if not need:
-            continue
-        met = Counter((s.before[:d], s.after[: length - d]) for s in group if length - len(s.after) <= d <= len(s.before))
-        for s in need:
-            if met[s.before[:d], s.after[: length - d]] > 1:
-                yield s, d, d
+    since: dict[int, int] = {}  # suffixes whose last string was repeated, with the first such string in a row
+    for d in range(min(x[1] for x in open_ones), max(x[2] for x in open_ones) + 2):
+        need = [k for k, (_, low, high) in enumerate(open_ones) if low <= d <= high]
+        met = Counter((s.before[:d], s.after[: length - d]) for s in group if length - len(s.after) <= d <= len(s.before)) if need else {}
+        now = {k for k in need if met[open_ones[k][0].before[:d], open_ones[k][0].after[: length - d]] > 1}
+        for k in [k for k in since if k not in now]:
+            yield open_ones[k][0], since.pop(k), d - 1
+        for k in now:
+            since.setdefault(k, d)
 
 
 # --- the distributed steps ----------------------------------------------------------------
@@ -254,8 +262,8 @@ def _range_of(h: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(h // np.uint64(((1 << 64) - 1) // n), np.uint64(n - 1)).astype(np.int64)
 
 
-def removals(docs: DataFrame, uri: str, length: int, gram: int, hot: int, ranges: int | None) -> DataFrame:
-    """(block, spans): pairs of first and last starts of repeated strings per block, as little-endian longs; and each block once with none."""
+def removals(docs: DataFrame, uri: str, length: int, gram: int, hot: int, ranges: int | None) -> tuple[DataFrame, int]:
+    """(block, spans): pairs of first and last starts of repeated strings per block, as little-endian longs; and each block once with none. With it, the number of blocks."""
     spark = docs.sparkSession
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +280,9 @@ def removals(docs: DataFrame, uri: str, length: int, gram: int, hot: int, ranges
 
     asked = materialize(as_bytes(docs).mapInArrow(store, "h long, block string, n long"), f"{uri}/asked")
     marks = asked.where("h is null").select("block", "n")
-    if ranges is None:
-        ranges = max(1, -(-(marks.agg(F.sum("n")).first()[0] or 0) // RANGE_BYTES))
+    size, n_blocks = marks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    n_blocks = max(1, n_blocks)
+    ranges = ranges or max(1, -(-size // RANGE_BYTES))
     repeated = materialize(_repeated(asked, "h"), f"{uri}/repeated")
     drop_dir(spark, f"{uri}/asked")
 
@@ -307,36 +316,35 @@ def removals(docs: DataFrame, uri: str, length: int, gram: int, hot: int, ranges
             size[tag] = len(after)
         tags = sorted(found)
         of = _range_of(np.array([int.from_bytes(t[:8], "big") for t in tags], np.uint64), ranges) if tags else np.empty(0, np.int64)
-        out = {n: [] for n in ("range", "block", "size", "after", "shared", "rests", "n_places", "places")}
+        out: list[tuple[int, int, int]] = []
+        packets = Packets(f"{uri}/runs", block)
         for r in np.unique(of).tolist():
             own = tags[int(np.searchsorted(of, r)) : int(np.searchsorted(of, r, "right"))]
             keys = [t[:-2] for t in own]
             shared, rests = front_coded(keys)
-            out["range"].append(r)
-            out["block"].append(block)
-            out["size"].append(np.array([len(k) for k in keys], "<u2").tobytes())
-            out["after"].append(np.array([size[t] for t in own], "<u2").tobytes())
-            out["shared"].append(shared.astype("<u2").tobytes())
-            out["rests"].append(rests)
-            out["n_places"].append(np.array([len(found[t]) for t in own], "<u4").tobytes())
-            out["places"].append(np.array([p for t in own for p in found[t]], "<i8").tobytes())
-        kinds = [pa.int32(), pa.string()] + [pa.binary()] * 6
-        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), kinds, strict=True)})
-
-    runs = repeated.groupBy("block").applyInArrow(send, "range int, block string, size binary, after binary, shared binary, rests binary, n_places binary, places binary")
-    runs = materialize(runs, f"{uri}/runs")
+            out.append((r, *packets.add([
+                np.array([len(k) for k in keys], "<u2").tobytes(), np.array([size[t] for t in own], "<u2").tobytes(), shared.astype("<u2").tobytes(), rests,
+                np.array([len(found[t]) for t in own], "<u4").tobytes(), np.array([p for t in own for p in found[t]], "<i8").tobytes(),
+            ])))
+        packets.commit()
+        ranges_of, at_of, size_of = np.array(out, np.int64).reshape(-1, 3).T
+        return pa.table({"range": pa.array(ranges_of.astype(np.int32)), "block": pa.array([block] * len(out), pa.string()), "at": pa.array(at_of), "size": pa.array(size_of)})
+
+    # explicit numbers of partitions, here and below: the rows are small and the work behind them isn't
+    runs = repeated.repartition(n_blocks, "block").groupBy("block").applyInArrow(send, "range int, block string, at long, size long")
+    runs = materialize(runs, f"{uri}/run-places")
 
     def merge(table: pa.Table) -> pa.Table:
         names = table.column("block").to_pylist()
         out: dict[int, list[int]] = {}
 
         def run(i: int) -> Iterator[tuple[bytes, int, object]]:
-            col = {n: table.column(n)[i].as_py() for n in ("size", "after", "shared", "rests", "n_places", "places")}
-            places = np.frombuffer(col["places"], "<i8")
-            n = np.frombuffer(col["n_places"], "<u4").astype(np.int64)
+            sizes, afters, shared, rests, counts, places = read_packet(f"{uri}/runs", names[i], table.column("at")[i].as_py(), table.column("size")[i].as_py(), 6)
+            places = np.frombuffer(places, "<i8")
+            n = np.frombuffer(counts, "<u4").astype(np.int64)
             stop = np.cumsum(n)
-            payloads = ((a, i, places[e - k : e]) for a, k, e in zip(np.frombuffer(col["after"], "<u2").tolist(), n.tolist(), stop.tolist(), strict=True))
-            return decoded(np.frombuffer(col["size"], "<u2"), np.frombuffer(col["shared"], "<u2"), col["rests"], payloads)
+            payloads = ((a, i, places[e - k : e]) for a, k, e in zip(np.frombuffer(afters, "<u2").tolist(), n.tolist(), stop.tolist(), strict=True))
+            return decoded(np.frombuffer(sizes, "<u2"), np.frombuffer(shared, "<u2"), rests, payloads)
 
         def close(group: list[Suffix]) -> None:
             for s, low, high in repeated_strings(group, length):
@@ -362,17 +370,17 @@ def removals(docs: DataFrame, uri: str, length: int, gram: int, hot: int, ranges
         close(group)
         return pa.table({"block": pa.array([names[i] for i in out], pa.string()), "spans": pa.array([np.array(v, "<i8").tobytes() for v in out.values()], pa.binary())})
 
-    spans = runs.groupBy("range").applyInArrow(merge, "block string, spans binary")
+    spans = runs.repartition(ranges, "range").groupBy("range").applyInArrow(merge, "block string, spans binary")
     if repeated.where(F.col("h").isNotNull() & (F.col("total") > hot)).limit(1).count():
-        spans = spans.unionByName(_hot_spans(repeated, wanted, uri, length, hot))
-    return spans.unionByName(marks_of(repeated))
+        spans = spans.unionByName(_hot_spans(repeated, wanted, uri, length, hot, n_blocks))
+    return spans.unionByName(marks_of(repeated)), n_blocks
 
 
 def marks_of(repeated: DataFrame) -> DataFrame:
     return repeated.where("h is null").select("block", F.lit(b"").alias("spans"))
 
 
-def _hot_spans(repeated: DataFrame, wanted, uri: str, length: int, hot: int) -> DataFrame:
+def _hot_spans(repeated: DataFrame, wanted, uri: str, length: int, hot: int, n_blocks: int) -> DataFrame:
     """Spans of the anchors of hot hashes: their strings are counted over all blocks by a 128-bit hash."""
 
     def strings(table: pa.Table) -> tuple[str, dict[bytes, list[int]]]:
@@ -388,7 +396,7 @@ def _hot_spans(repeated: DataFrame, wanted, uri: str, length: int, hot: int) ->
         return pa.table({"w": pa.array(list(found), pa.binary()), "block": pa.array([block] * len(found), pa.string()), "n": pa.array([len(v) for v in found.values()], pa.int64())})
 
     hot_only = repeated.where(F.col("h").isNull() | (F.col("total") > hot))
-    asked = materialize(hot_only.groupBy("block").applyInArrow(ask, "w binary, block string, n long"), f"{uri}/asked-hot")
+    asked = materialize(hot_only.repartition(n_blocks, "block").groupBy("block").applyInArrow(ask, "w binary, block string, n long"), f"{uri}/asked-hot")
     told = _repeated(asked, "w").select("block", "w", F.lit(None).cast("long").alias("h"), F.lit(0).cast("long").alias("total"))
     both = hot_only.select("block", F.lit(None).cast("binary").alias("w"), "h", "total").unionByName(told)
 
@@ -399,7 +407,7 @@ def _hot_spans(repeated: DataFrame, wanted, uri: str, length: int, hot: int) ->
         starts = [x for w, v in found.items() if w in names for p in v for x in (p, p)]
         return pa.table({"block": pa.array([block], pa.string()), "spans": pa.array([np.array(starts, "<i8").tobytes()], pa.binary())})
 
-    return both.groupBy("block").applyInArrow(spans, "block string, spans binary")
+    return both.repartition(n_blocks, "block").groupBy("block").applyInArrow(spans, "block string, spans binary")
 
 
 def merged_spans(pairs: np.ndarray, size: int, length: int) -> list[tuple[int, int]]:
@@ -421,7 +429,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     gives what is left as binary, as a cut may fall inside a character.
     """
     uri = shared_dir(docs.sparkSession, "suffixes")
-    spans = materialize(removals(docs, uri, length, gram, hot, ranges), f"{uri}/spans")
+    spans, n_blocks = removals(docs, uri, length, gram, hot, ranges)
+    spans = materialize(spans, f"{uri}/spans")
 
     def cut(table: pa.Table) -> pa.Table:
         ids, texts = read_block(f"{uri}/blocks", table.column("block")[0].as_py())
@@ -449,4 +458,4 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
         return pa.table(columns | ({"kept": pa.array(out["kept"], pa.binary())} if with_text else {}))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return spans.groupBy("block").applyInArrow(cut, schema)
+    return spans.repartition(n_blocks, "block").groupBy("block").applyInArrow(cut, schema)
