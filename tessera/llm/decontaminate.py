@@ -15,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, shared_dir
+
 WORDS, THRESHOLD = 5, 0.8
-#: Sketch rows that may be broadcast (16 bytes each and their hash table); beyond it the join shuffles.
+#: Rows of sketches, item shingles or candidates that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -84,8 +86,7 @@ def leaks_by_row(docs: DataFrame, items: DataFrame, words: int = WORDS, threshol
     pieces = item_shingles(items, words)
     lengths = [r[0] for r in pieces.select("len").distinct().orderBy("len").collect()]  # at most `words` rows
     sketch = sketches(pieces, threshold)
-    small = sketch.count() <= BROADCAST_ROWS
-    light = F.broadcast if small else (lambda d: d)
+    light = F.broadcast if pieces.count() <= BROADCAST_ROWS else (lambda d: d)
 
     key = F.xxhash64("text").alias("version")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -98,10 +99,13 @@ def leaks_by_row(docs: DataFrame, items: DataFrame, words: int = WORDS, threshol
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, version long, item_id long, n_shared long, n_shingles long")
-    candidates = found.distinct()
+    candidates = materialize(found.distinct(), f"{shared_dir(docs.sparkSession, 'decontamination')}/candidates")
 
     # candidate documents only, one row per text, whatever the number of items in it
     texts = candidates.select("doc_id", "version").distinct()
+    few = candidates.count() <= BROADCAST_ROWS
+    if few:
+        texts = F.broadcast(texts)
     keyed = base.where("text is not null").select("doc_id", key, "text")
     again = keyed.join(texts.withColumnRenamed("doc_id", "d").withColumnRenamed("version", "v"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left_semi")
     again = again.dropDuplicates(["doc_id", "version"]).select("doc_id", "version", words_of("text").alias("words"))
@@ -114,7 +118,7 @@ def leaks_by_row(docs: DataFrame, items: DataFrame, words: int = WORDS, threshol
     shared = exact.groupBy("doc_id", "version", "item_id").agg(F.count("*").alias("n_shared"), F.first("m").alias("n_shingles"))
     shared = shared.where(F.col("n_shared") >= needed(F.col("n_shingles"), threshold))
     sure = (F.col("s.doc_id").eqNullSafe(F.col("c.doc_id"))) & (F.col("s.version") == F.col("c.version")) & (F.col("s.item_id") == F.col("c.item_id"))
-    verified = shared.alias("s").join(candidates.alias("c"), sure, "left_semi")
+    verified = shared.alias("s").join((F.broadcast(candidates) if few else candidates).alias("c"), sure, "left_semi")
     return verified.select("doc_id", "version", "item_id", "n_shared", F.col("n_shingles").cast("long").alias("n_shingles"))
 
 
