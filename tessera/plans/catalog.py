@@ -1 +1,3 @@
 """Registers the queries of the core library."""
+
+from tessera.plans import feature_queries, hierarchy_queries, point_queries, raster_queries  # noqa: F401
