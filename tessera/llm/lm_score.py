@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks_of, drop_dir, materialize, partition_id, read_block, shared_dir, write_block
+from .common import Packets, as_bytes, blocks_of, drop_dir, materialize, partition_id, read_block, read_packet, shared_dir, write_block
 
 MIN_COUNT, BACKOFF = 2, 0.4
 #: Bytes of text whose n-grams make one hash range.
@@ -117,20 +117,25 @@ def scores(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF
             block = f"{part:06d}-{k:04d}"
             write_block(f"{uri}/blocks", block, ids, texts)
             words, _, _, _, one, two = asked(texts)
+            packets, out = Packets(f"{uri}/packets", block), []
             for order, (h, n) in ((1, one), (2, two)):
                 at = _in_ranges(h, ranges)
                 for r in range(ranges):
                     i, j = at[r], at[r + 1]
                     if i < j or order == 1 and r == 0:  # so that every block is there
-                        yield pa.RecordBatch.from_pydict({"block": [block], "range": pa.array([r], pa.int32()), "ord": pa.array([order], pa.int32()), "h": [_planes(h[i:j])], "n": [_small(n[i:j])], "n_words": [len(words)]})
+                        out.append((r, order, *packets.add([_planes(h[i:j]), _small(n[i:j])]), len(words)))
+            packets.commit()
+            range_of, order_of, at_of, size_of, n_words = np.array(out, np.int64).T
+            yield pa.RecordBatch.from_pydict({"block": [block] * len(out), "range": pa.array(range_of.astype(np.int32)), "ord": pa.array(order_of.astype(np.int32)), "at": pa.array(at_of), "size": pa.array(size_of), "n_words": pa.array(n_words)})
 
-    packets = materialize(as_bytes(docs).mapInArrow(ask, "block string, range int, ord int, h binary, n binary, n_words long"), f"{uri}/asked")
+    packets = materialize(as_bytes(docs).mapInArrow(ask, "block string, range int, ord int, at long, size long, n_words long"), f"{uri}/asked")
     total, n_blocks = packets.where("range = 0 and ord = 1").agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.greatest(F.count("*"), F.lit(1))).first()
 
     def answer(table: pa.Table) -> pa.Table:
         """All packets of one range and order: their sums, told to each packet."""
-        hashes = [_from_planes(b) for b in table.column("h").to_pylist()]
-        counts = [_from_small(b) for b in table.column("n").to_pylist()]
+        places = zip(*(table.column(n).to_pylist() for n in ("block", "at", "size")), strict=True)
+        got = [read_packet(f"{uri}/packets", *p, 2) for p in places]
+        hashes, counts = [_from_planes(h) for h, _ in got], [_from_small(n) for _, n in got]
         joined, own = np.concatenate(hashes), np.concatenate(counts)
         keys, at = np.unique(joined, return_inverse=True)
         summed = np.zeros(len(keys), np.int64)
@@ -140,7 +145,7 @@ def scores(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF
         return pa.table({"block": table.column("block"), "range": table.column("range"), "ord": table.column("ord"), "n": pa.array(told, pa.binary())})
 
     answers = materialize(packets.repartition(2 * ranges, "range", "ord").groupBy("range", "ord").applyInArrow(answer, "block string, range int, ord int, n binary"), f"{uri}/answers")
-    drop_dir(spark, f"{uri}/asked")
+    drop_dir(spark, f"{uri}/packets")
 
     def score(table: pa.Table) -> pa.Table:
         """All answers to one block."""
