@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import as_bytes, materialize, partition_id, rows_of, shared_dir
-from .encoding import encoder
+from .encoding import encoder, together
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, local_rank long"
 
@@ -86,10 +86,11 @@ def pieces_of(docs: DataFrame, tokenizer: str, cut: str, end_id: int, capacity:
         enc, part = encoder(tokenizer, cut), partition_id()
         end = np.array([end_id], "<u4")
         seen: dict[int, int] = {}
-        for batch in batches:
+        rows = (r for batch in batches for r in rows_of(batch))
+        for doc_ids, texts in together(rows):
             out: list[tuple] = []
-            for doc_id, text in rows_of(batch):
-                ids = np.concatenate([np.frombuffer(enc.encode(text), enc.dtype).astype("<u4"), end])
+            for doc_id, got in zip(doc_ids, enc.encode(texts), strict=True):
+                ids = np.concatenate([got.astype("<u4"), end])
                 start = 0
                 for k, n in enumerate(cut_lengths(len(ids), capacity)):
                     rank = seen.get(n, 0)

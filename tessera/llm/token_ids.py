@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Store, as_bytes, partition_id, rows_of, shared_dir
-from .encoding import encoder
+from .encoding import encoder, together
 
 
 @dataclass(frozen=True)
@@ -51,16 +51,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, cut: str, end_id: int, ur
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, store, part = encoder(tokenizer, cut), Store(uri), partition_id()
         end = np.array([end_id], enc.dtype).tobytes()
-        width, offsets, ids, total, nulls = len(end), [0], [], 0, 0
+        offsets, ids, total, nulls = [0], [], 0, 0
         stream = None
-        for batch in batches:
-            for doc_id, text in rows_of(batch):
-                if stream is None:
-                    stream, commit = store.open_write(f"{part:05d}.ids")
-                got = enc.encode(text)
-                stream.write(got)
+        rows = (r for batch in batches for r in rows_of(batch))
+        for doc_ids, texts in together(rows):
+            if stream is None:
+                stream, commit = store.open_write(f"{part:05d}.ids")
+            for doc_id, got in zip(doc_ids, enc.encode(texts), strict=True):
+                stream.write(got.tobytes())
                 stream.write(end)
-                total += len(got) // width + 1
+                total += len(got) + 1
                 offsets.append(total)
                 ids.append(doc_id or 0)
                 nulls += doc_id is None
