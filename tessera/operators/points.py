@@ -37,7 +37,7 @@ def _shrunk(c: Column) -> Column:
         for a in AXES:
             fields.append(F.when(one & above[a], mid(s, a)).otherwise(s[f"c{a}"]).alias(f"c{a}"))
             fields.append(F.when(one & ~above[a], mid(s, a)).otherwise(s[f"d{a}"]).alias(f"d{a}"))
-        fields += [s[f"{p}{a}"].alias(f"{p}{a}") for a in AXES for p in "lh"]
+            fields += [s[f"{p}{a}"].alias(f"{p}{a}") for p in "lh"]  # in the order of c: fields go by place
         return F.struct(*fields)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(SHRINKS)), c, step)

@@ -144,8 +144,8 @@ def jn_interval_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("jn_coincident", "SELECT a.c_custkey AS a, b.s_suppkey AS b FROM customer a JOIN supplier b ON b.s_acctbal BETWEEN a.c_acctbal - 8::DOUBLE AND a.c_acctbal + 8::DOUBLE AND b.s_nationkey = a.c_nationkey")
 def jn_coincident(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(0.0).alias("z")
-    left = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"), zero)
-    right = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y"), zero)
+    left = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), (F.col("c_nationkey") * 100.0).alias("y"), zero)
+    right = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"), (F.col("s_nationkey") * 100.0).alias("y"), zero)
     return op.coincident(left, right, 8.0)
 
 

@@ -1 +1,185 @@
-"""Queries."""
+"""Queries over tile trees."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.functions.numeric import morton
+from tessera.operators import hierarchy as op
+from tessera.plans.registry import query
+from tessera.plans.tables import FEATURES, features, table
+
+_KD = f"""WITH RECURSIVE {FEATURES}, t AS (SELECT *, '' AS path, count(*) OVER () <= 64 AS leaf FROM feats UNION ALL
+ SELECT layer, id, x, y, z, segment, path || side, count(*) OVER (PARTITION BY path || side) <= 64 FROM (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY path ORDER BY along, layer, id) <= n // 2 THEN '0' ELSE '1' END AS side FROM (
+   SELECT *, CASE WHEN ez > ex AND ez > ey THEN z WHEN ey > ex THEN y ELSE x END AS along FROM (
+    SELECT *, count(*) OVER w AS n, max(x) OVER w - min(x) OVER w AS ex, max(y) OVER w - min(y) OVER w AS ey, max(z) OVER w - min(z) OVER w AS ez FROM t WHERE NOT leaf WINDOW w AS (PARTITION BY path)))))
+"""
+
+
+def _kd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.kd_median(features(spark, sf_dir), 64, ("layer", "id"))
+
+
+@query("par_kd_median", _KD + "SELECT layer, id, x, y, z, segment, path FROM t WHERE leaf")
+def par_kd_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kd(spark, sf_dir)
+
+
+@query("par_leaf_test", _KD + "SELECT path, count(*) AS n, count(*) <= 64 AS fits FROM t WHERE leaf GROUP BY path")
+def par_leaf_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kd(spark, sf_dir).groupBy("path").agg(F.count("*").alias("n")).withColumn("fits", F.col("n") <= 64)
+
+
+@query("win_median_cut", f"WITH {FEATURES}, r AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY x, id) AS k, count(*) OVER (PARTITION BY layer) AS n FROM feats) SELECT layer, id, x FROM r WHERE k = n // 2")
+def win_median_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features(spark, sf_dir)
+    n = f.groupBy("layer").agg(F.count("*").alias("n"))
+    k = F.row_number().over(Window.partitionBy("layer").orderBy("x", "id"))
+    return f.withColumn("k", k).join(n, "layer").where(F.col("k") == F.floor(F.col("n") / 2)).select("layer", "id", "x")
+
+
+_PREFIXES = _KD + ", p AS (SELECT substr(path, 1, k) AS prefix, x, y, z FROM t, range(65) u(k) WHERE leaf AND k <= length(path))"
+
+
+@query("agg_prefix_stats", _PREFIXES + " SELECT prefix, count(*) AS n, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM p GROUP BY prefix")
+def agg_prefix_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = op.leaf_then_prefix(_kd(spark, sf_dir))
+    return got.withColumn("n", F.col("n").cast("long"))
+
+
+def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tile tree of four levels from the parts: paths of one letter a level, errors that mostly fall."""
+    p = table(spark, sf_dir, "part").where("p_partkey < 1365")
+    k = F.col("p_partkey")
+    digits = F.when(k < 1, "").when(k < 5, F.concat(((k - 1) % 4).cast("string"))).when(k < 21, F.concat(F.floor((k - 5) / 4).cast("string"), ((k - 5) % 4).cast("string"))).when(k < 85, F.concat(F.floor((k - 21) / 16).cast("string"), F.floor((k - 21) / 4 % 4).cast("string"), ((k - 21) % 4).cast("string")))
+    digits = digits.when(k < 341, F.concat(F.floor((k - 85) / 64).cast("string"), F.floor((k - 85) / 16 % 4).cast("string"), F.floor((k - 85) / 4 % 4).cast("string"), ((k - 85) % 4).cast("string")))
+    digits = digits.otherwise(F.concat(F.floor((k - 341) / 256).cast("string"), F.floor((k - 341) / 64 % 4).cast("string"), F.floor((k - 341) / 16 % 4).cast("string"), F.floor((k - 341) / 4 % 4).cast("string"), ((k - 341) % 4).cast("string")))
+    tiles = p.select(digits.alias("path"), F.col("p_retailprice").cast("double").alias("error"), F.col("p_size").cast("long").alias("size"))
+    parent = F.when(F.length("path") > 0, F.expr("substring(path, 1, length(path) - 1)"))
+    return tiles.withColumn("parent", parent)
+
+
+_TILES = """tiles AS (SELECT path, error, size, CASE WHEN length(path) > 0 THEN substr(path, 1, length(path) - 1) END AS parent FROM (SELECT p_retailprice::DOUBLE AS error, p_size::BIGINT AS size, CASE
+ WHEN p_partkey < 1 THEN '' WHEN p_partkey < 5 THEN ((p_partkey - 1) % 4)::VARCHAR WHEN p_partkey < 21 THEN ((p_partkey - 5) // 4)::VARCHAR || ((p_partkey - 5) % 4)
+ WHEN p_partkey < 85 THEN ((p_partkey - 21) // 16)::VARCHAR || ((p_partkey - 21) // 4 % 4) || ((p_partkey - 21) % 4)
+ WHEN p_partkey < 341 THEN ((p_partkey - 85) // 64)::VARCHAR || ((p_partkey - 85) // 16 % 4) || ((p_partkey - 85) // 4 % 4) || ((p_partkey - 85) % 4)
+ ELSE ((p_partkey - 341) // 256)::VARCHAR || ((p_partkey - 341) // 64 % 4) || ((p_partkey - 341) // 16 % 4) || ((p_partkey - 341) // 4 % 4) || ((p_partkey - 341) % 4) END AS path FROM part WHERE p_partkey < 1365))"""
+
+
+@query("agg_max_error", f"WITH {_TILES} SELECT a.path, max(b.error) AS error FROM tiles a JOIN tiles b ON starts_with(b.path, a.path) GROUP BY a.path")
+def agg_max_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.max_error(_tiles(spark, sf_dir))
+
+
+@query("hier_roles", f"""WITH {_TILES}, h AS (SELECT a.path, any_value(a.parent) AS parent, max(length(b.path)) - length(a.path) AS height FROM tiles a JOIN tiles b ON starts_with(b.path, a.path) GROUP BY a.path)
+SELECT h.path, h.height::INT AS height, CASE WHEN h.height >= 4 THEN 'skeleton' WHEN h.path = '' THEN 'implicit_root' WHEN u.height >= 4 AND h.height = 0 THEN 'explicit_leaf' WHEN u.height >= 4 THEN 'implicit_root' ELSE 'implicit' END AS role FROM h LEFT JOIN h u ON u.path = h.parent""")
+def hier_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.roles(_tiles(spark, sf_dir).select("path"))
+
+
+@query("val_error_order", f"WITH {_TILES} SELECT c.path, c.parent, c.error, p.error AS parent_error FROM tiles c JOIN tiles p ON p.path = c.parent WHERE c.error > p.error")
+def val_error_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.error_violations(_tiles(spark, sf_dir))
+
+
+@query("jn_parent_child", f"WITH {_TILES} SELECT c.path, p.error AS parent_error FROM tiles c JOIN tiles p ON p.path = c.parent")
+def jn_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tiles(spark, sf_dir)
+    return t.join(t.select(F.col("path").alias("parent"), F.col("error").alias("parent_error")), "parent").select("path", "parent_error")
+
+
+@query("val_budgets", f"WITH {_TILES} SELECT path, size, size <= 40 AS within FROM tiles")
+def val_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(spark, sf_dir).select("path", "size", (F.col("size") <= 40).alias("within"))
+
+
+@query("agg_depth_bounds", f"WITH {_TILES} SELECT length(path)::INT AS depth, count(*) AS n, min(error) AS least, max(error) AS most FROM tiles GROUP BY length(path)")
+def agg_depth_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(spark, sf_dir).groupBy(F.length("path").alias("depth")).agg(F.count("*").alias("n"), F.min("error").alias("least"), F.max("error").alias("most"))
+
+
+@query("agg_level_report", f"WITH {_TILES} SELECT length(path)::INT AS level, count(*) AS tiles, sum(size)::BIGINT AS size FROM tiles GROUP BY length(path)")
+def agg_level_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(spark, sf_dir).groupBy(F.length("path").alias("level")).agg(F.count("*").alias("tiles"), F.sum("size").alias("size"))
+
+
+@query("agg_counters", f"WITH {_TILES} SELECT count(*) AS tiles, count(*) FILTER (length(path) = 5) AS leaves, max(size) AS largest, max(error) AS worst FROM tiles")
+def agg_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(spark, sf_dir).agg(F.count("*").alias("tiles"), F.sum((F.length("path") == 5).cast("long")).alias("leaves"), F.max("size").alias("largest"), F.max("error").alias("worst"))
+
+
+@query("agg_leaf_fragments", f"WITH {_TILES} SELECT parent, count(*) AS fragments, sum(size)::BIGINT AS total FROM tiles WHERE parent IS NOT NULL GROUP BY parent")
+def agg_leaf_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(spark, sf_dir).where("parent is not null").groupBy("parent").agg(F.count("*").alias("fragments"), F.sum("size").alias("total"))
+
+
+@query("agg_empty_parent", f"WITH {_TILES} SELECT path, greatest(error, 16.0::DOUBLE * size) AS error FROM tiles")
+def agg_empty_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(spark, sf_dir).select("path", op.empty_parent_error(F.col("error"), F.col("size").cast("double")).alias("error"))
+
+
+@query("agg_top_error", f"WITH {_TILES} SELECT path, greatest(1.0::DOUBLE, error * 2.0::DOUBLE, size::DOUBLE) AS error FROM tiles WHERE path = ''")
+def agg_top_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(spark, sf_dir).where("path = ''").select("path", op.top_error(F.col("error"), 2.0, F.col("size").cast("double")).alias("error"))
+
+
+@query("win_preorder", f"WITH {_TILES} SELECT path, row_number() OVER (ORDER BY path) - 1 AS place FROM tiles")
+def win_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.plans.feature_queries import _placed
+
+    return _placed(_tiles(spark, sf_dir).select("path"), "path").withColumn("place", F.col("place") - 1)
+
+
+@query("lod_levels", f"WITH {_TILES} SELECT path, level, size * (2.0::DOUBLE ** (level - 1)) AS tolerance FROM tiles, range(1, 4) t(level)")
+def lod_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tiles(spark, sf_dir).select("path", "size", F.explode(F.sequence(F.lit(1), F.lit(3)).cast("array<bigint>")).alias("level"))
+    return t.select("path", "level", (F.col("size") * F.pow(F.lit(2.0), F.col("level") - 1)).alias("tolerance"))
+
+
+@query("lod_skip_level", f"WITH {_TILES}, l AS (SELECT parent, path, size, lag(size) OVER (PARTITION BY parent ORDER BY path) AS finer FROM tiles WHERE parent IS NOT NULL) SELECT path, size FROM l WHERE finer IS NULL OR size < finer")
+def lod_skip_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finer = F.lag("size").over(Window.partitionBy("parent").orderBy("path"))
+    return _tiles(spark, sf_dir).where("parent is not null").withColumn("finer", finer).where("finer is null or size < finer").select("path", "size")
+
+
+@query("hier_morton", "SELECT x, y, z, sum((((x >> k) & 1) << (3 * k)) | (((y >> k) & 1) << (3 * k + 1)) | (((z >> k) & 1) << (3 * k + 2)))::BIGINT AS place FROM range(16) t(x), range(16) u(y), range(16) v(z), range(4) w(k) GROUP BY x, y, z")
+def hier_morton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    cells = spark.range(4096).select(i.bitwiseAND(F.lit(15)).alias("x"), F.shiftright(i, 4).bitwiseAND(F.lit(15)).alias("y"), F.shiftright(i, 8).alias("z"))
+    return cells.withColumn("place", morton(F.col("x"), F.col("y"), F.col("z")))
+
+
+@query("hier_templates", f"WITH {_TILES} SELECT path, length(path) || '-' || size || '-' || (size * 3) AS uri FROM tiles")
+def hier_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(spark, sf_dir).select("path", F.format_string("%d-%d-%d", F.length("path"), F.col("size"), F.col("size") * 3).alias("uri"))
+
+
+@query("hier_derived_box", "SELECT level, x, x * (100.0::DOUBLE / (1 << level)) AS low, (x + 1) * (100.0::DOUBLE / (1 << level)) AS high FROM range(0, 6) t(level), range(0, 32) u(x) WHERE x < (1 << level)")
+def hier_derived_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = spark.range(6).withColumnRenamed("id", "level").withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, cast(level as int)) - 1"))))
+    width = F.lit(100.0) / F.expr("shiftleft(1L, cast(level as int))")
+    return cells.select("level", "x", (F.col("x") * width).alias("low"), ((F.col("x") + 1) * width).alias("high"))
+
+
+@query("agg_availability", f"WITH {_TILES} SELECT length(path)::INT AS level, count(*) AS available, count(*) = 4 ** length(path) AS full FROM tiles GROUP BY length(path)")
+def agg_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _tiles(spark, sf_dir).groupBy(F.length("path").alias("level")).agg(F.count("*").alias("available"))
+    return got.withColumn("full", F.col("available") == F.pow(F.lit(4.0), F.col("level")))
+
+
+@query("src_list_tiles", f"WITH {_TILES} SELECT path, length(path)::INT AS depth, NOT EXISTS (SELECT 1 FROM tiles c WHERE c.parent = tiles.path) AS leaf, error FROM tiles")
+def src_list_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tiles(spark, sf_dir)
+    inner = t.select(F.col("parent").alias("path")).where("path is not null").distinct().withColumn("inner", F.lit(True))
+    return t.join(inner, "path", "left").select("path", F.length("path").alias("depth"), F.col("inner").isNull().alias("leaf"), "error")
+
+
+@query("src_tileset", "WITH RECURSIVE t AS (SELECT r_regionkey AS id, r_name AS name, 0 AS depth FROM region UNION ALL SELECT n_nationkey, n_name, t.depth + 1 FROM t JOIN nation ON n_regionkey = t.id WHERE t.depth = 0) SELECT id, name, depth::INT AS depth FROM t")
+def src_tileset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(0).alias("depth"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("up"))
+    below = n.join(roots.select(F.col("id").alias("up")), "up").select("id", "name", F.lit(1).alias("depth"))
+    return roots.unionByName(below)
