@@ -25,8 +25,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 SHORTEST_RUN = 20
-#: Documents whose words train the model of identifiers.
-SAMPLE_DOCS = 400
+#: Documents whose words train the model of identifiers, and how many distinct words at most.
+SAMPLE_DOCS, SAMPLE_WORDS = 400, 20_000
 
 
 class Markov:
@@ -74,12 +74,13 @@ def identifier_samples(words: list[str], n: int, seed: int) -> list[str]:
     return out
 
 
-def sample_words(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[str]:
-    """Distinct ASCII words of the sample_docs documents with the smallest hash of their id: the same ones for any partitioning."""
+def sample_words(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> list[str]:
+    """Distinct ASCII words of the whole texts of the sample_docs documents with the smallest hash of their id, at most `words` of them, again by hash: the same ones for any partitioning."""
     ids = [r[0] for r in docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()]
-    rows = docs.where(F.col("doc_id").isin(ids)).select(F.substring("text", 1, 1 << 14).alias("t")).limit(4 * sample_docs).collect() if ids else []
-    words = {w for r in rows if r["t"] for w in re.findall(r"[A-Za-z]{2,}", r["t"])}
-    return sorted(words)
+    if not ids:
+        return []
+    every = docs.where(F.col("doc_id").isin(ids)).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("w")).distinct()
+    return sorted(r[0] for r in every.orderBy(F.xxhash64("w"), "w").limit(words).collect())
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, n: int = 6000, seed: int = 7) -> Detector:
