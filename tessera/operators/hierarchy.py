@@ -12,6 +12,21 @@ from tessera.operators.checkpoints import stored
 AXES = ("x", "y", "z")
 
 
+def _halved(cut: DataFrame, names: list[str], order: tuple[str, ...]) -> DataFrame:
+    """Rows with 0 or 1 appended to their path by rank in their prefix, without a task that holds a whole prefix.
+
+    The rows are dealt by ranges of (path, order), sorted and stored with their place in the part;
+    a row's rank is its place after its part's first row of the prefix, plus the prefix's rows in earlier parts.
+    """
+    dealt = cut.select(*names, "path", "n", *(c for c in order if c not in names)).repartitionByRange("path", *order).sortWithinPartitions("path", *order)
+    dealt = stored(dealt.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()), "kd")
+    runs = dealt.groupBy("path", "part").agg(F.min("seq").alias("first"), F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("path", "part", (F.col("first") - F.coalesce(before, F.lit(0))).alias("base"))
+    side = F.when(F.col("seq") - F.col("base") < F.floor(F.col("n") / 2), "0").otherwise("1")
+    return dealt.join(runs, ["path", "part"]).select(*names, F.concat("path", side).alias("path"))
+
+
 def kd_median(features: DataFrame, max_features: int, order: tuple[str, ...] = ("sortkey", "id"), max_depth: int = 64) -> DataFrame:
     """features with the path of their leaf in a binary partition at medians.
 
@@ -34,9 +49,7 @@ def kd_median(features: DataFrame, max_features: int, order: tuple[str, ...] = (
             break
         done.append(rows.join(stats.where(F.col("n") <= max_features).select("path"), "path", "left_semi").select(*names, "path"))
         cut = rows.join(split, "path").withColumn("along", F.when(F.col("axis") == "x", F.col("x")).when(F.col("axis") == "y", F.col("y")).otherwise(F.col("z")))
-        rank = F.row_number().over(Window.partitionBy("path").orderBy("along", *order))
-        cut = cut.withColumn("side", F.when(rank <= F.floor(F.col("n") / 2), "0").otherwise("1"))
-        rows = stored(cut.select(*names, F.concat("path", "side").alias("path")), "kd")
+        rows = _halved(cut, names, ("along", *order))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
