@@ -179,7 +179,7 @@ def polygon_problem(rings: Sequence[Ring]) -> str | None:
     if any(not isfinite(v) for r in loops for p in r for v in p):
         return "nonfinite"
     for r in loops:
-        if len(r) < 3 or sum(_cross(r[0], a, b) for a, b in zip(r[1:], r[2:])) == 0:
+        if len(r) < 3 or all(_cross(r[0], a, b) == 0 for a, b in zip(r[1:], r[2:])):
             return "degenerate"
     edges = [(min(r[k][0], r[(k + 1) % len(r)][0]), max(r[k][0], r[(k + 1) % len(r)][0]), i, k, r[k], r[(k + 1) % len(r)]) for i, r in enumerate(loops) for k in range(len(r))]
     edges.sort(key=lambda e: (e[0], e[2], e[3]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.checkpoints import stored
+from tessera.operators.hierarchy import prefixes
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
@@ -41,23 +42,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
     return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
 
 
-def nested(a, b):
-    """Whether one path is the other's ancestor (or the same)."""
-    return F.startswith(a, b) | F.startswith(b, a)
-
-
 def co_render_groups(holders: DataFrame) -> DataFrame:
     """(path, grp): tiles that must be drawn on one grid: holders(vertex, path) that share a vertex, unless one is the other's ancestor.
 
-    Links go from a vertex's holders to its least one that is no relative, so that a vertex
-    with many holders costs a link each, not all pairs. Where a holder is related to the least
-    one, it is linked to the least of its unrelated holders.
+    A vertex's holders that are related to all others are a chain from the top; below it there are
+    two branches at least, so that all the rest hangs together. These link to their least one: a
+    vertex costs a link per holder, not all pairs. Relatives are counted over prefixes of paths.
     """
     h = holders.select("vertex", "path").distinct()
-    ends = h.groupBy("vertex").agg(F.min("path").alias("low"), F.max("path").alias("high"))
-    joined = h.join(ends, "vertex")
-    to_low = joined.where(~nested(F.col("path"), F.col("low"))).select(F.col("path").alias("a"), F.col("low").alias("b"))
-    # what is related to the least holder starts with it; the greatest one is unrelated to it or all are one chain below it
-    rest = joined.where(nested(F.col("path"), F.col("low"))).where(~nested(F.col("path"), F.col("high"))).select(F.col("path").alias("a"), F.col("high").alias("b"))
+    total = h.groupBy("vertex").agg(F.count("*").alias("n"))
+    lines = h.select("vertex", "path", F.explode(prefixes()).alias("prefix"))
+    below = lines.groupBy("vertex", "prefix").agg(F.count("*").alias("below"))
+    above = lines.join(h.select("vertex", F.col("path").alias("prefix")), ["vertex", "prefix"]).groupBy("vertex", "path").agg(F.count("*").alias("above"))
+    counted = above.join(below.withColumnRenamed("prefix", "path"), ["vertex", "path"]).join(total, "vertex")
+    mixed = counted.where(F.col("above") + F.col("below") - 1 < F.col("n")).select("vertex", "path")
+    least = mixed.groupBy("vertex").agg(F.min("path").alias("b"))
+    links = mixed.join(least, "vertex").select(F.col("path").alias("a"), "b")
     alone = h.select(F.col("path").alias("a"), F.col("path").alias("b"))
-    return components(to_low.union(rest).union(alone)).select(F.col("node").alias("path"), F.col("component").alias("grp"))
+    return components(links.union(alone)).select(F.col("node").alias("path"), F.col("component").alias("grp"))
