@@ -174,3 +174,50 @@ def quantized16(points: DataFrame, by: str) -> DataFrame:
         scale = F.when(F.col(f"h{a}") > F.col(f"l{a}"), F.col(f"h{a}") - F.col(f"l{a}")).otherwise(F.lit(1.0))
         codes.append(F.floor((F.col(a) - F.col(f"l{a}")) / scale * F.lit(65535.0) + F.lit(0.5)).cast("long").alias(f"q{a}"))
     return boxed.select(by, "ordinal", *codes)
+
+
+def samples(leaves: DataFrame, budget: int, ordinal: str = "ordinal", halvings: int = 10) -> DataFrame:
+    """(path, ordinal, x, y, z, edge, error) for every inner node of an octree: the first record per voxel of the finest grid within the budget.
+
+    leaves are octree() rows. A node's grids are two halving chains from its parent's edge; at the
+    root they start at the longest extent over (side - 0.5). One level a pass, as a node needs its
+    parent's edge: rows meet their node's finest grids once, by a partial aggregation; the coarser
+    grids of a chain nest in these and are counted on their cells. error is the voxel's diagonal
+    clamped to the node's extent. A grid that never fits gives way to the coarsest one.
+    """
+    side = integer_root(budget)
+    rows = leaves.select(F.col("path").alias("leaf"), ordinal, *AXES)
+    edges, out = None, []
+    deepest = leaves.agg(F.max(F.length("path"))).first()[0] or 0
+    for depth in range(deepest):
+        at = rows.where(F.length("leaf") > depth).withColumn("path", F.substring("leaf", 1, depth))
+        box = bounds(at, "path").withColumn("longest", F.greatest(*(F.col(f"h{a}") - F.col(f"l{a}") for a in AXES)))
+        if edges is None:
+            top = F.greatest(F.col("longest"), F.lit(2.2250738585072014e-308)) / F.lit(side - 0.5)
+            box = box.withColumn("top", top)
+        else:
+            up = edges.select(F.col("path").alias("up"), F.col("edge").alias("top"))
+            box = box.withColumn("up", F.expr("substring(path, 1, length(path) - 1)")).join(up, "up").drop("up")
+        grids = F.explode(F.array(*(F.struct(F.lit(c).alias("chain"), (F.col("top") / F.lit(2.0**0.5 if c else 1.0)).alias("coarse")) for c in (0, 1)))).alias("g")
+        keyed = at.join(box.select("path", "top", *(f"l{a}" for a in AXES)), "path").select("path", ordinal, *AXES, *(f"l{a}" for a in AXES), grids)
+        finest = F.col("g.coarse") / F.lit(float(2**halvings))
+        keys = [F.floor((F.col(a) - F.col(f"l{a}")) / finest).cast("long").alias(f"k{a}") for a in AXES]
+        cells = keyed.select("path", "g.chain", "g.coarse", *keys, ordinal, *AXES).groupBy("path", "chain", *(f"k{a}" for a in AXES))
+        cells = stored(cells.agg(F.first("coarse").alias("coarse"), F.min(F.struct(ordinal, *AXES)).alias("first")), "samples")
+        level = F.explode(F.sequence(F.lit(0), F.lit(halvings))).alias("level")
+        shift = [F.expr(f"shiftright(k{a}, level)").alias(f"k{a}") for a in AXES]
+        counts = cells.select("path", "chain", "coarse", *(f"k{a}" for a in AXES), level).select("path", "chain", "coarse", "level", *shift).distinct()
+        counts = counts.groupBy("path", "chain", "level").agg(F.first("coarse").alias("coarse"), F.count("*").alias("voxels"))
+        counts = counts.withColumn("edge", F.col("coarse") / F.pow(F.lit(2.0), F.lit(halvings) - F.col("level")))
+        fits = F.col("voxels") <= budget
+        chosen = counts.groupBy("path").agg(F.min_by(F.struct("chain", "level", "edge"), F.struct((~fits).alias("over"), F.when(fits, F.col("edge")).otherwise(-F.col("edge")))).alias("c"))
+        chosen = stored(chosen.select("path", "c.*").join(box, "path"), "edges")
+        first = cells.join(chosen.select("path", "chain", "level"), ["path", "chain"]).select("path", *shift, "first")
+        first = first.groupBy("path", *(f"k{a}" for a in AXES)).agg(F.min("first").alias("first"))
+        error = norm(*(F.least(F.col("edge"), F.col(f"h{a}") - F.col(f"l{a}")) for a in AXES))
+        out.append(first.join(chosen.select("path", "edge", error.alias("error")), "path").select("path", "first.*", "edge", "error"))
+        edges = chosen
+    empty = leaves.select("path", ordinal, *AXES).where(F.lit(False)).withColumn("edge", F.lit(0.0)).withColumn("error", F.lit(0.0))
+    for o in out:
+        empty = empty.unionByName(o)
+    return empty
