@@ -5,19 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back: a loop's lineage ends there, and lost executors lose nothing.
-
-    The folder is spark.checkpoint.dir; a temporary one is set only where there is none.
-    """
-    spark = df.sparkSession
+def shared_uri(spark: SparkSession, name: str) -> str:
+    """A new folder's name below spark.checkpoint.dir; a temporary one is set only where there is none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
-    uri = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: a loop's lineage ends there, and lost executors lose nothing."""
+    uri = shared_uri(df.sparkSession, name)
     df.write.parquet(uri)
-    return spark.read.schema(df.schema).parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)
