@@ -109,9 +109,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of rows handed to a Python worker at a time.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """docs, with Arrow batches bounded by bytes (rows alone are no bound for long texts) where the session doesn't say so itself."""
+    spark, key = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
+    return docs
+
+
 def as_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, UTF-8 bytes of the text); a null text counts as empty. Extra columns are dropped."""
-    return docs.select(
+    return bounded_batches(docs).select(
         docs[id_col].cast("long").alias("doc_id"),
         F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("text"),
     )

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, rows_of
+from .common import as_bytes, bounded_batches, rows_of
 
 #: Bit k of `failed` belongs to RULES[k]. Only append: stored ledgers keep their meaning.
 RULES = ("few_words", "repeats", "symbols", "dup_lines", "word_length", "shouting", "no_letters")
@@ -137,7 +137,7 @@ def accepted(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
                 failed = failed_bits(np.array([measure((t or "").encode()) for t in texts], np.int64))
                 yield batch.filter(pa.array(failed & mask == 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def ablations(found: DataFrame, policy: Policy = DEFAULT) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, rows_of
+from .common import as_bytes, bounded_batches, rows_of
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -158,5 +158,5 @@ def masked(docs: DataFrame, detector: Detector | None) -> DataFrame:
     def hide(texts):  # a Series each
         return texts.map(lambda t: None if t is None else mask_text(t, detector))
 
-    out = docs.withColumn("text", hide("text"))
+    out = bounded_batches(docs).withColumn("text", hide("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
