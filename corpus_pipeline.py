@@ -1,6 +1,6 @@
 """A training corpus from `documents` in five stages, each stored before the next one reads it.
 
-quality rules -> SimHash near-duplicates -> benchmark decontamination -> secret masking -> packing.
+quality rules -> near-duplicates by similarity -> benchmark decontamination -> secret masking -> packing.
 All but the last stage return the columns of `documents`.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, packing, quality, secret_scan, simhash
+from tessera.llm import decontaminate, packing, quality, secret_scan, similarity
 from tessera.llm.common import documents, materialize, shared_dir
 from tessera.llm.queries import tokenizer_path
 from tessera.session import ship
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard similarity 0.8 or more) stays."""
+    return similarity.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

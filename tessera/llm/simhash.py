@@ -249,11 +249,16 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return all_fp.join(component, "fp").select("doc_id", "version", "fp", "component_id", "root")
 
 
-def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """docs with one row of each component: the one of the smallest id, rows of one id by a hash of their text; null ids last."""
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with one row of each root of found(doc_id, version, root): the one of the smallest id, rows of one id by a hash of their text; null ids last."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")
-    stay = near_duplicates(docs, distance).groupBy("root").agg(F.min(order).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.version").alias("_version"))
+    stay = found.groupBy("root").agg(F.min(order).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.version").alias("_version"))
     version = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
     keyed = docs.withColumn("_v", version)
     kept = keyed.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_version")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_v"]).drop("_v")
+
+
+def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """docs with one row of each component: the one of the smallest id, rows of one id by a hash of their text; null ids last."""
+    return first_of_each(docs, near_duplicates(docs, distance))
