@@ -176,16 +176,33 @@ def quantized16(points: DataFrame, by: str) -> DataFrame:
     return boxed.select(by, "ordinal", *codes)
 
 
-def samples(leaves: DataFrame, budget: int, ordinal: str = "ordinal", halvings: int = 10) -> DataFrame:
+def _halved(edge: Column, times: Column) -> Column:
+    """edge halved so often; in two steps, as one power of two may pass the largest double."""
+    half = F.floor(times / 2)
+    return edge / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), times - half)
+
+
+def halvings(longest: Column, edge: Column, budget: int) -> Column:
+    """How often an edge is halved until a node's longest extent holds it budget times, or it would be zero; none without an extent."""
+    most = F.least(F.floor(F.log2(edge)) + 1074, F.lit(2046))
+    near = F.ceil(F.log2(F.lit(float(budget))) + F.log2(edge) - F.log2(longest))
+    # the logarithms may be off by one
+    tries = [F.greatest(F.lit(0), F.least(near + k, most)) for k in (-1, 0, 1)]
+    enough = [longest / _halved(edge, h) >= budget for h in tries]
+    return F.when(longest > 0, F.when(enough[0], tries[0]).when(enough[1], tries[1]).otherwise(tries[2])).otherwise(F.lit(0)).cast("int")
+
+
+def samples(leaves: DataFrame, budget: int, ordinal: str = "ordinal") -> DataFrame:
     """(path, ordinal, x, y, z, edge, error) for every inner node of an octree: the first record per voxel of the finest grid within the budget.
 
     leaves are octree() rows. A node's grids are two halving chains from its parent's edge; at the
     root they start at the longest extent over (side - 0.5). One level a pass, as a node needs its
     parent's edge: rows meet their node's finest grids once, by a partial aggregation; the coarser
-    grids of a chain nest in these and are counted on their cells. error is the voxel's diagonal
+    grids of a chain nest in these and are counted on their cells, up to the first of one voxel. A chain ends
+    where the node's longest extent holds its edge budget times. error is the voxel's diagonal
     clamped to the node's extent. A grid that never fits gives way to the coarsest one.
     """
-    side = integer_root(budget)
+    side, one = integer_root(budget), (2 * budget).bit_length()
     rows = leaves.select(F.col("path").alias("leaf"), ordinal, *AXES)
     edges, out = None, []
     deepest = leaves.agg(F.max(F.length("path"))).first()[0] or 0
@@ -198,17 +215,17 @@ def samples(leaves: DataFrame, budget: int, ordinal: str = "ordinal", halvings:
         else:
             up = edges.select(F.col("path").alias("up"), F.col("edge").alias("top"))
             box = box.withColumn("up", F.expr("substring(path, 1, length(path) - 1)")).join(up, "up").drop("up")
-        grids = F.explode(F.array(*(F.struct(F.lit(c).alias("chain"), (F.col("top") / F.lit(2.0**0.5 if c else 1.0)).alias("coarse")) for c in (0, 1)))).alias("g")
-        keyed = at.join(box.select("path", "top", *(f"l{a}" for a in AXES)), "path").select("path", ordinal, *AXES, *(f"l{a}" for a in AXES), grids)
-        finest = F.col("g.coarse") / F.lit(float(2**halvings))
+        grids = F.explode(F.array(*(F.struct(F.lit(c).alias("chain"), edge.alias("coarse"), halvings(F.col("longest"), edge, budget).alias("halvings")) for c, edge in enumerate((F.col("top"), F.col("top") / F.lit(2.0**0.5)))))).alias("g")
+        keyed = at.join(box.select("path", "top", "longest", *(f"l{a}" for a in AXES)), "path").select("path", ordinal, *AXES, *(f"l{a}" for a in AXES), grids)
+        finest = _halved(F.col("g.coarse"), F.col("g.halvings"))
         keys = [F.floor((F.col(a) - F.col(f"l{a}")) / finest).cast("long").alias(f"k{a}") for a in AXES]
-        cells = keyed.select("path", "g.chain", "g.coarse", *keys, ordinal, *AXES).groupBy("path", "chain", *(f"k{a}" for a in AXES))
-        cells = stored(cells.agg(F.first("coarse").alias("coarse"), F.min(F.struct(ordinal, *AXES)).alias("first")), "samples")
-        level = F.explode(F.sequence(F.lit(0), F.lit(halvings))).alias("level")
+        cells = keyed.select("path", "g.chain", "g.coarse", "g.halvings", *keys, ordinal, *AXES).groupBy("path", "chain", *(f"k{a}" for a in AXES))
+        cells = stored(cells.agg(F.first("coarse").alias("coarse"), F.first("halvings").alias("halvings"), F.min(F.struct(ordinal, *AXES)).alias("first")), "samples")
+        level = F.explode(F.sequence(F.lit(0), F.least(F.col("halvings"), F.lit(one)))).alias("level")
         shift = [F.expr(f"shiftright(k{a}, level)").alias(f"k{a}") for a in AXES]
-        counts = cells.select("path", "chain", "coarse", *(f"k{a}" for a in AXES), level).select("path", "chain", "coarse", "level", *shift).distinct()
-        counts = counts.groupBy("path", "chain", "level").agg(F.first("coarse").alias("coarse"), F.count("*").alias("voxels"))
-        counts = counts.withColumn("edge", F.col("coarse") / F.pow(F.lit(2.0), F.lit(halvings) - F.col("level")))
+        counts = cells.select("path", "chain", "coarse", "halvings", *(f"k{a}" for a in AXES), level).select("path", "chain", "coarse", "halvings", "level", *shift).distinct()
+        counts = counts.groupBy("path", "chain", "level").agg(F.first("coarse").alias("coarse"), F.first("halvings").alias("halvings"), F.count("*").alias("voxels"))
+        counts = counts.withColumn("edge", _halved(F.col("coarse"), F.col("halvings") - F.col("level")))
         fits = F.col("voxels") <= budget
         chosen = counts.groupBy("path").agg(F.min_by(F.struct("chain", "level", "edge"), F.struct((~fits).alias("over"), F.when(fits, F.col("edge")).otherwise(-F.col("edge")))).alias("c"))
         chosen = stored(chosen.select("path", "c.*").join(box, "path"), "edges")

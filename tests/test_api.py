@@ -49,6 +49,48 @@ def test_samples(spark):
         assert got[p][0]["edge"] == pytest.approx(edge)
 
 
+
+def chain_sample(rows, top, budget):
+    """As plain_sample, with chains that end where the longest extent holds the edge budget times."""
+    low = [min(r[k] for r in rows) for k in (1, 2, 3)]
+    longest = max(max(r[k] for r in rows) - low[k - 1] for k in (1, 2, 3))
+    best = None
+    for edge in (top, top / 2.0**0.5):
+        while True:
+            cells = {}
+            for r in sorted(rows):
+                cells.setdefault(tuple(math.floor((r[k + 1] - low[k]) / edge) for k in range(3)), r)
+            if len(cells) <= budget and (best is None or edge < best[0]):
+                best = (edge, sorted(cells.values()))
+            if not (longest > 0 and longest / edge < budget):
+                break
+            edge /= 2
+    return best
+
+
+@pytest.mark.parametrize("tight", [1e-6, 1e-12])
+def test_samples_of_a_tight_cluster(spark, tight):
+    rng = random.Random(9)
+    rows = [(i, rng.random(), rng.random(), rng.random()) for i in range(40)]
+    rows += [(40 + i, tight * rng.random(), tight * rng.random(), tight * rng.random()) for i in range(300)]
+    leaves = points.octree(spark.createDataFrame(rows, "ordinal long, x double, y double, z double"), 27).cache()
+    path = {r["ordinal"]: r["path"] for r in leaves.collect()}
+    got = {}
+    for r in points.samples(leaves, 27).collect():
+        got.setdefault(r["path"], []).append(r)
+    inner = {p[:k] for p in path.values() for k in range(len(p))}
+    assert set(got) == inner
+    edges, whole = {}, 0
+    for p in sorted(inner, key=len):
+        own = [r for r in rows if path[r[0]].startswith(p) and len(path[r[0]]) > len(p)]
+        longest = max(max(r[k] for r in own) - min(r[k] for r in own) for k in (1, 2, 3))
+        edges[p], kept = chain_sample(own, edges[p[:-1]] if p else longest / 2.5, 27)
+        assert sorted(r["ordinal"] for r in got[p]) == [r[0] for r in kept]
+        assert got[p][0]["edge"] == pytest.approx(edges[p])
+        whole += longest < tight * 2 and len(kept) > 8
+    assert whole
+
+
 def test_point_cloud_to_archive(spark, tmp_path):
     (tmp_path / "in").mkdir()
     las(tmp_path / "in/a.las", 3, 700)
