@@ -4,6 +4,7 @@ Both public tokenizers cut a text at certain white space before their merges run
 stands around. Texts are cut there, many at a time: the cuts are an offsets array over their
 joined bytes, and a dictionary encoding finds the distinct stretches. The library encodes those
 not met before, and the ids of all stretches are gathered. The memory for stretches is bounded.
+A text that holds the string of an added token goes to the library whole, which tells its id.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = {"byte_level": byte_level_cuts, "word": word_cuts}[cut]
         self.lowers = self.strips = cut == "word"
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
@@ -91,7 +92,8 @@ class Encoder:
         memo, cores = self.memo, {}
         for s in stretches:
             core, stop = (s[:-1], s[-1:]) if s[-1] in _STOPS and len(s) > 1 and s[-2] in _LETTERS else (s, b"")
-            cores[s] = (core.lower() if self.lowers and core.isascii() else core, stop)
+            # lower-casing must not spell an added token that the text doesn't have
+            cores[s] = (core.lower() if self.lowers and core.isascii() and b"<|" not in core else core, stop)
         ask = {c for pair in cores.values() for c in pair if c and c not in memo}
         own: dict[bytes, bytes] = {}
         plain = [s for s in ask if self.mark not in s and s.strip()]
@@ -125,7 +127,17 @@ class Encoder:
         return [own[s] if s in own else known[s] for s in stretches]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text."""
+        """The ids of each text, as the library gives them for the whole text without special tokens added."""
+        whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not whole:
+            return self._cut_up(texts)
+        held = set(whole)
+        out = self._cut_up([b"" if k in held else t for k, t in enumerate(texts)])
+        for k in whole:
+            out[k] = np.array(self.tokenizer.encode(texts[k].decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype)
+        return out
+
+    def _cut_up(self, texts: list[bytes]) -> list[np.ndarray]:
         filled = [t for t in texts if t]
         if not filled:
             return [np.empty(0, self.dtype)] * len(texts)

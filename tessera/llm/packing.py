@@ -111,7 +111,8 @@ def pack(docs: DataFrame, tokenizer: str, cut: str, end_id: int = 0, capacity: i
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of docs(doc_id, text).
 
     A null or empty text is the end id alone. Null or repeated doc_ids are kept, a row each.
-    An empty table gives no rows. Other columns are ignored. Which of several pieces of equal
+    An empty table gives no rows. Other columns are ignored. A very long text is read whole by
+    one task and becomes as many pieces as it fills. Which of several pieces of equal
     length takes which slot depends on the partitions read; the set of slots doesn't.
     """
     spark = docs.sparkSession
@@ -138,7 +139,8 @@ def pack(docs: DataFrame, tokenizer: str, cut: str, end_id: int = 0, capacity: i
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + placed, names=[*names, "sequence_id", "offset"])
 
-    ranked = pieces.join(bases.select("part", "length", "base"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("local_rank"))
+    # a row per part and length grows with the input, and so isn't broadcast
+    ranked = pieces.join(bases.select("part", "length", "base").hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("local_rank"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
         place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )

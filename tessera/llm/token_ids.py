@@ -43,7 +43,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, cut: str, end_id: int, ur
 
     Order: ascending doc_id, null ids first, rows with equal ids by their text. A null or
     empty text gives the end id alone. Repeated rows are kept. An empty table gives a
-    manifest without parts. Other columns are ignored.
+    manifest without parts. Other columns are ignored. A very long text is encoded whole by one task.
     """
     spark = docs.sparkSession
     uri = uri or shared_dir(spark, "token-ids")

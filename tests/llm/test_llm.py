@@ -10,6 +10,8 @@ import pytest
 from conftest import compare
 
 from tessera.llm import chat, decontaminate, lm_score, packing, quality, queries, secret_scan, simhash, suffix_dedup, token_counts, token_ids
+from tokenizers import Tokenizer
+
 from tessera.llm.encoding import Encoder
 
 SCHEMA = "doc_id long, text string, version string, size int, fp long"
@@ -22,7 +24,7 @@ def odd(spark):
     words = ["The", "the", "ün", "é", "a.", "b,", "日本", "x=1", "don't", "***"]
     text = lambda n: "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", "  ", "\t", " "]) for _ in range(n))
     rows = [(i, text(rng.randint(0, 40))) for i in range(40)]
-    rows += [(41, None), (42, ""), (43, "  \n "), (44, "one"), (45, "two words"), (46, text(3000)), (47, rows[3][1]), (48, rows[3][1]), (49, rows[4][1] + " end"), (3, rows[3][1]), (3, rows[3][1]), (None, "no id"), (None, None)]
+    rows += [(41, None), (42, ""), (43, "  \n "), (44, "one"), (45, "two words"), (46, text(3000)), (50, "hello <|endoftext|> world"), (51, "<|startoftext|>a<|endoftext|><|endoftext|>b <|ENDOFTEXT|>"), (47, rows[3][1]), (48, rows[3][1]), (49, rows[4][1] + " end"), (3, rows[3][1]), (3, rows[3][1]), (None, "no id"), (None, None)]
     return spark.createDataFrame([(i, t, "v", 1, 2) for i, t in rows], SCHEMA).repartition(5), rows
 
 
@@ -47,7 +49,7 @@ def test_token_files(spark, request, which):
     docs, rows = request.getfixturevalue(which)
     path = queries.tokenizer_path("word_bpe_49k.json")
     got = token_ids.read_token_files(spark, token_ids.write_token_files(docs, path, "word", 2)).collect()
-    enc = Encoder(path, "word").tokenizer
+    enc = Tokenizer.from_file(path)
     ids = {}
     for i, t in rows:
         a = np.array(enc.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
@@ -64,7 +66,7 @@ def test_packing(request, which):
     docs, rows = request.getfixturevalue(which)
     path = queries.tokenizer_path("byte_bpe_50k.json")
     got = packing.pack(docs, path, "byte_level", 0, 256).collect()
-    enc = Encoder(path, "byte_level").tokenizer
+    enc = Tokenizer.from_file(path)
     expected = []
     for i, t in rows:
         a, start = np.array(enc.encode(t or "", add_special_tokens=False).ids + [0], "<u4"), 0
@@ -82,11 +84,12 @@ def test_packing(request, which):
 
 def test_encoder_on_odd_text():
     rng = random.Random(3)
-    bits = ["a", "The", "  ", " ", "\n", "\n\n", "\t", ".", ",", "é", "é", " ", "　", "'s", "n't", "12", "$$", "—.", "İ", "Σ", "<|endoftext|>", "\x1c", " \n", "x.", "日本", "ﬁ", "\x01"]
+    bits = ["a", "The", "  ", " ", "\n", "\n\n", "\t", ".", ",", "é", "é", " ", "　", "'s", "n't", "12", "$$", "—.", "İ", "Σ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "\x1c", " \n", "x.", "日本", "ﬁ", "\x01"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(800)]
     for name, cut in (("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte_level")):
+        fresh = Tokenizer.from_file(queries.tokenizer_path(name))
         enc = Encoder(queries.tokenizer_path(name), cut)
-        for t, got, e in zip(texts, enc.encode([t.encode() for t in texts]), enc.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        for t, got, e in zip(texts, enc.encode([t.encode() for t in texts]), fresh.encode_batch(texts, add_special_tokens=False)):
             assert got.tolist() == e.ids, repr(t)
 
 
@@ -261,7 +264,7 @@ def test_pipeline(spark, sf_dir):
     held = [shingles(r.text) for r in rows]
     rows = [r for r, h in zip(rows, held) if not any(len(s & h) >= 0.8 * len(s) - 1e-9 for s in items if s)]
     det = secret_scan.fit(spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string"))
-    enc = Encoder(queries.tokenizer_path("byte_bpe_50k.json"), "byte_level").tokenizer
+    enc = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
     expected = []
     for r in rows:
         a, start = np.array(enc.encode(secret_scan.mask_text(r.text, det), add_special_tokens=False).ids + [0], "<u4"), 0
