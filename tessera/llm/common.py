@@ -109,6 +109,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of narrow tables (hashes, ids) that may be broadcast once they are counted; beyond it the join shuffles.
+BROADCAST_ROWS = 200_000
+
 #: Bytes of rows handed to a Python worker at a time.
 BATCH_BYTES = 4 << 20
 

@@ -15,11 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import BROADCAST_ROWS, materialize, shared_dir
 
 WORDS, THRESHOLD = 5, 0.8
-#: Rows of sketches, item shingles or candidates that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -134,10 +132,26 @@ def leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, threshold: floa
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that hold none of the items."""
-    found = leaks_by_row(docs, items, words, threshold).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
-    hit = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version"))
-    return docs.join(found, hit, "left_anti")
+    """The rows of docs, with all their columns, that hold none of the items.
+
+    Null and empty texts and null ids stay; repeated rows go or stay together; an empty table on
+    either side takes nothing away. Columns may have any names. Few rows that go are broadcast after they are
+    counted, so that no text moves. Items of fewer words than a shingle would strike out every document that has
+    those words: they are not searched for here (short_items tells them).
+    """
+    long_enough = items.where(F.size(words_of("text")) >= words)
+    found = leaks_by_row(docs, long_enough, words, threshold).select("doc_id", "version").distinct()
+    gone = materialize(found, f"{shared_dir(docs.sparkSession, 'decontaminated')}/gone")
+    gone = gone.select(F.col("doc_id").alias("gone id"), F.col("version").alias("gone version"))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    hit = docs["doc_id"].cast("long").eqNullSafe(gone["gone id"]) & (F.xxhash64(docs["text"]) == gone["gone version"])
+    return docs.join(gone, hit, "left_anti")
+
+
+def short_items(items: DataFrame, words: int = WORDS) -> DataFrame:
+    """The items that decontaminated() doesn't search for: those with some words, but fewer than a shingle."""
+    return items.where((F.size(words_of("text")) > 0) & (F.size(words_of("text")) < words))
 
 
 ORACLE = """

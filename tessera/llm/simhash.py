@@ -1,21 +1,27 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
 Fingerprints are reduced to the distinct ones first, so that exact copies cost one row.
-With at most `distance` differing bits, of `distance + 3` blocks of bits at least three
-stay intact. For each choice of three blocks the bits are laid out with those first and
-ranked in Gray order: fingerprints that share them are neighbours, and share them as the
-pattern of an upper node. Below it, nodes over runs of the Gray order hold the further
-bits on which all their members agree; a query carries the differences counted so far down
-the tree and leaves a node with its whole group once they exceed the distance.
-
-Links are merged inside a node, so that a group of g yields g - 1 edges at most, and then
-joined into components by alternating star contraction on stored tables.
+The index has one, or a few, layouts of the bits: with at most `distance` differing bits, of
+`distance + m` blocks m stay intact, and each choice of m blocks, laid first, is a layout. m is
+the least that gives the leading bits which part the table into groups of about GROUP; a small
+table is one group of one layout. Fingerprints of a group stand in Gray order, cut in pieces
+of at most PIECE. Over the runs of a piece stand nodes, up to its root, which hold the bits
+on which all their members agree; a query carries the differences counted so far down the tree
+and leaves a node with its whole group once they exceed the distance.
+
+The pieces of a larger group are nodes of one more level: their masks and patterns are a stored
+table, and a query goes only to those pieces of its group that its differences don't rule out.
+
+Links are merged inside a piece, so that a group of g yields g - 1 edges at most, and one edge
+goes from a query to each merged class of another piece. Edges are joined into components by
+alternating star contraction on stored tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, drop_dir, materialize, rows_of, shared_dir
+from .common import BROADCAST_ROWS, as_bytes, drop_dir, materialize, partition_id, rows_of, shared_dir
 
 SEED, WORDS, DISTANCE = 42, 3, 2
-LEAF, FANOUT, QUERIES = 16, 8, 8192
+LEAF, FANOUT, QUERIES = 16, 8, 1024
+#: Fingerprints of a group that the leading bits aim at, and at most in a piece.
+GROUP, PIECE = 4096, 65_536
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -65,16 +73,22 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def layouts(distance: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """For each choice of three intact blocks: the number of their bits, and all blocks (shift, width), intact ones first."""
-    n = distance + 3
+def layouts(distance: int, bits: int) -> list[list[tuple[int, int]]]:
+    """Orders of the blocks (shift, width) of the 64 bits, such that of two words within the distance one order keeps the first `bits` bits intact."""
+    if not bits:
+        return [[(0, 64)]]
+    widths = {m: m * (64 // (distance + m)) for m in range(1, 64 - distance)}
+    m = min((m for m in widths if widths[m] >= bits), default=max(widths, key=widths.get))
+    n = distance + m
     cuts = [round(64 * k / n) for k in range(n + 1)]
     blocks = [(cuts[k], cuts[k + 1] - cuts[k]) for k in range(n)]
-    out = []
-    for kept in combinations(range(n), 3):
-        order = [blocks[k] for k in kept] + [blocks[k] for k in range(n) if k not in kept]
-        out.append((sum(blocks[k][1] for k in kept), order))
-    return out
+    return [[blocks[k] for k in kept] + [blocks[k] for k in range(n) if k not in kept] for kept in combinations(range(n), m)]
+
+
+def group_bits(n: int, distance: int) -> int:
+    """Leading bits that part n fingerprints into groups of about GROUP, as far as intact blocks have them."""
+    most = max(m * (64 // (distance + m)) for m in range(1, 64 - distance))
+    return min(most, max(0, ceil(log2(max(1, n / GROUP)))))
 
 
 def laid_out(fp: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
@@ -93,6 +107,7 @@ class Tree:
 
     def __init__(self, words: np.ndarray):
         self.words, self.levels = words, []
+        self.met = self.cut = 0  # members that queries stood before, and those left with their group
         every, some = words, words
         size = LEAF
         while True:
@@ -124,6 +139,8 @@ class Tree:
         member = (node[:, None] * LEAF + np.arange(LEAF)).ravel()
         keep = member < len(self.words)
         q, member = q[keep], member[keep]
+        self.met += len(queries) * len(self.words)
+        self.cut += len(queries) * len(self.words) - len(q)
         keep = _ones(queries[q] ^ self.words[member]) <= distance
         return q[keep], member[keep]
 
@@ -150,57 +167,118 @@ def merged(words: np.ndarray, distance: int) -> np.ndarray:
     return np.array([find(i) for i in range(len(words))], np.int64)
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints fp that join exactly the components of the graph of all links."""
-    plans = layouts(distance)
+def nearest(words: np.ndarray, distance: int) -> np.ndarray:
+    """For code words in Gray order, the index of the closest earlier word within the distance, else the own one."""
+    out, tree = np.arange(len(words)), Tree(words)
+    for start in range(0, len(words), QUERIES):
+        q, member = tree.near(words[start : start + QUERIES], distance)
+        q = q + start
+        q, member = q[member < q], member[member < q]
+        order = np.lexsort((_ones(words[q] ^ words[member]), q))
+        q, at = np.unique(q[order], return_index=True)
+        out[q] = member[order][at]
+    return out
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> tuple[np.ndarray, ...]:
+    return tuple(batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], most: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """The rows of one value of the first column after the other, as arrays of at most `most` rows."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = _columns(batch, *names)
+        cuts = np.flatnonzero(np.concatenate([[True], new[0][1:] != new[0][:-1], [True]]))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if held and held[-1][0][-1] != new[0][i]:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, n = [], 0
+            while most and n + j - i >= most:
+                held.append(tuple(x[i : i + most - n] for x in new))
+                i += most - n
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, n = [], 0
+            if i < j:
+                held.append(tuple(x[i:j] for x in new))
+                n += j - i
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def links(distinct: DataFrame, distance: int, uri: str, closest: bool = False) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints fp that join exactly the components of the graph of all links.
+
+    With closest, pairs within the distance instead: each fingerprint with its closest earlier one in every layout and piece.
+    """
+    bits = group_bits(distinct.count(), distance)
+    plans = layouts(distance, bits)
+    within = nearest if closest else merged
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for k, (bits, order) in enumerate(plans):
+            for k, order in enumerate(plans):
                 w = laid_out(fp, order)
-                rank = gray_rank(w)
-                node = k << 50 | (w >> np.uint64(64 - bits)).astype(np.int64)
+                group = (w >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(w), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node), pa.array(rank.view(np.int64)), pa.array(w.view(np.int64)), pa.array(fp.view(np.int64))], names=["node", "rank", "word", "fp"]
+                    [pa.array(k << 50 | group), pa.array(gray_rank(w).view(np.int64)), pa.array(w.view(np.int64)), pa.array(fp.view(np.int64))], names=["node", "rank", "word", "fp"]
                 )
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            node, word, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            cuts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
-            sizes = np.diff(cuts)
-            a, b = [], []
-            for i in np.flatnonzero(sizes > 1).tolist():
-                lo, hi = cuts[i], cuts[i + 1]
-                root = merged(word[lo:hi].view(np.uint64), distance)
-                moved = np.flatnonzero(root != np.arange(hi - lo))
-                a.append(fp[lo:hi][moved])
-                b.append(fp[lo:hi][root[moved]])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = tuple(batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("node", "word", "fp"))
-            if held and new[0][0] != held[-1][0][-1]:
-                yield from close()
-                held.clear()
-            # whole nodes but the last go at once
-            last = int(np.searchsorted(new[0], new[0][-1]))
-            if last:
-                held.append(tuple(x[:last] for x in new))
-                yield from close()
-                held.clear()
-            held.append(tuple(x[last:] for x in new))
-        if held:
-            yield from close()
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = partition_id()
+        for k, (node, word, fp) in enumerate(_runs(batches, ("node", "word", "fp"), PIECE)):
+            root = fp[within(word.view(np.uint64), distance)]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.full(len(node), part << 32 | k)), pa.array(word), pa.array(fp), pa.array(root)], names=["node", "piece", "word", "fp", "root"])
 
     nodes = distinct.select("fp").mapInArrow(spread, "node long, rank long, word long, fp long")
-    return nodes.repartition("node").sortWithinPartitions("node", "rank").mapInArrow(search, "a long, b long")
+    placed = nodes.repartitionByRange("node", "rank").sortWithinPartitions("node", "rank").mapInArrow(place, "node long, piece long, word long, fp long, root long")
+    placed = materialize(placed, f"{uri}/index")
+    own = placed.where("root <> fp").select(F.col("fp").alias("a"), F.col("root").alias("b"))
+    top = placed.groupBy("node", "piece").agg(F.expr("bit_and(word)").alias("every"), F.expr("bit_or(word)").alias("some"))
+    several = placed.groupBy("node").agg(F.count_distinct("piece").alias("n")).where("n > 1")
+    top = materialize(top.join(several, "node", "left_semi"), f"{uri}/index-top")
+    if top.isEmpty():
+        return own
+
+    near = F.expr("bit_count((word ^ every) & ~(every ^ some))") <= distance
+    there = top.select(F.col("node").alias("n2"), F.col("piece").alias("p2"), "every", "some")
+    asks = placed.join(there, (F.col("node") == F.col("n2")) & (F.col("p2") > F.col("piece")) & near).select(F.col("p2").alias("piece"), F.lit(1).alias("asks"), "word", "fp", "root")
+    members = placed.join(top.select("piece"), "piece", "left_semi").select("piece", F.lit(0).alias("asks"), "word", "fp", "root")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members of a piece come first and become a tree; its queries stream past it."""
+        at, held, tree = None, [], None
+        for batch in batches:
+            piece, asks, word, fp, root = _columns(batch, "piece", "asks", "word", "fp", "root")
+            for p in np.unique(piece).tolist():
+                i, j = np.searchsorted(piece, p), np.searchsorted(piece, p, "right")
+                if p != at:
+                    at, held, tree = p, [], None
+                k = i + np.searchsorted(asks[i:j], 1)
+                if k > i:
+                    held.append((word[i:k], fp[i:k], root[i:k]))
+                if k == j:
+                    continue
+                if tree is None:
+                    w, names, roots = (np.concatenate(x) for x in zip(*held, strict=True))
+                    order = np.argsort(gray_rank(w.view(np.uint64)))
+                    tree, names, roots = Tree(w.view(np.uint64)[order]), names[order], roots[order]
+                for s in range(k, j, QUERIES):
+                    e = min(j, s + QUERIES)
+                    q, member = tree.near(word[s:e].view(np.uint64), distance)
+                    apart = _ones(word[s:e].view(np.uint64)[q] ^ tree.words[member])
+                    group = q if closest else np.unique(roots[member], return_inverse=True)[1].reshape(-1) + q * (len(roots) + 1)
+                    order = np.lexsort((apart, group))
+                    first = order[np.unique(group[order], return_index=True)[1]]
+                    if len(first):
+                        yield pa.RecordBatch.from_arrays([pa.array(fp[s:e][q[first]]), pa.array(names[member[first]])], names=["a", "b"])
+
+    both = members.unionByName(asks).repartition("piece").sortWithinPartitions("piece", "asks")
+    return own.unionByName(both.mapInArrow(search, "a long, b long"))
 
 
 def components(edges: DataFrame, uri: str) -> DataFrame:
@@ -237,12 +315,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     component_id is the smallest id that links reach, the row's own included. Null and empty
     texts have fingerprint zero and are linked like any other. Rows with a null id are kept and
     take part in links; a component of null ids alone has a null component_id. Repeated rows
-    are kept. An empty table gives no rows. Other columns are ignored.
+    are kept. An empty table gives no rows. A very long text is read whole by one task. Other
+    columns, of whatever names, are ignored.
     """
     uri = shared_dir(docs.sparkSession, "simhash")
     all_fp = materialize(fingerprints(docs), f"{uri}/fingerprints")
     distinct = materialize(all_fp.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{uri}/distinct")
-    roots = components(links(distinct, distance), uri)
+    roots = components(links(distinct, distance, uri), uri)
     named = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     component = materialize(named.select("fp", "root").join(least, "root").select("fp", "component_id", "root"), f"{uri}/components")
@@ -250,15 +329,48 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with one row of each root of found(doc_id, version, root): the one of the smallest id, rows of one id by a hash of their text; null ids last."""
+    """docs with one row of each root of found(doc_id, version, root): the one of the smallest id, rows of one id by a hash of their text; null ids last.
+
+    What goes is settled on ids and hashes. If it is few rows they are broadcast, and no text moves.
+    """
+    uri = shared_dir(docs.sparkSession, "first")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")
-    stay = found.groupBy("root").agg(F.min(order).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.version").alias("_version"))
-    version = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
-    keyed = docs.withColumn("_v", version)
-    kept = keyed.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_version")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_v"]).drop("_v")
+    rows = found.groupBy("root", "doc_id", "version").agg(F.count("*").alias("n"))
+    rows = materialize(rows, f"{uri}/rows")
+    stay = rows.groupBy("root").agg(F.min(order).alias("s")).select("root", F.col("s.doc_id").alias("i"), F.col("s.version").alias("v"))
+    told = rows.join(stay, "root")
+    kept = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("version") == F.col("v"))
+    gone = materialize(told.where(~kept).select("doc_id", "version"), f"{uri}/gone")
+    often = materialize(told.where(kept & (F.col("n") > 1)).select("doc_id", "version"), f"{uri}/often")
+    left = without(docs, gone)
+    if often.isEmpty():
+        return left
+    mark = f"text version {uri}"
+    once = keyed(docs, often, "left_semi").withColumn(mark, text_version(F.col("text"))).dropDuplicates(["doc_id", mark]).drop(mark)
+    return without(left, often).unionByName(once)
+
+
+def text_version(text: F.Column) -> F.Column:
+    """A hash of a text; null and empty ones are alike."""
+    return F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b"")))
+
+
+def keyed(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs semi- or anti-joined with keys(doc_id, version), whatever other columns docs has. Few keys are broadcast after they are counted."""
+    keys = keys.select(F.col("doc_id").alias("key id"), F.col("version").alias("key version"))
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    same = docs["doc_id"].cast("long").eqNullSafe(keys["key id"]) & (text_version(docs["text"]) == keys["key version"])
+    return docs.join(keys, same, how)
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    return keyed(docs, keys, "left_anti")
 
 
 def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """docs with one row of each component: the one of the smallest id, rows of one id by a hash of their text; null ids last."""
+    """docs with one row of each component: the one of the smallest id, rows of one id by a hash of their text; null ids last.
+
+    Nulls, empty texts and empty tables are as in near_duplicates; all columns are kept as they are.
+    """
     return first_of_each(docs, near_duplicates(docs, distance))

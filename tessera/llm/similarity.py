@@ -1,13 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of word shingles; every pair at or above the threshold is found.
+"""Near-duplicates by SimHash and the Jaccard similarity of word shingles; every pair at or above the threshold is found.
+
+First links come from the Gray-order index of simhash over fingerprints of the shingles: each text with
+its closest ones there. Pairs that similar may lie up to 17 of 64 bits apart, which no
+index by distance can search whole, so that the rest is found by prefixes of the sets.
 
 Two sets of m and n shingles of similarity t share one of the first m - ceil(t m) + 1 and
-n - ceil(t n) + 1 in any order that holds for all sets. Here shingles that are common in a sample of
-the texts come last, so that passages held by many texts join few of them; the sample bears on speed only.
+n - ceil(t n) + 1 in any order that holds for all sets, and more than one where the sizes are close
+(`least_shared`). Here shingles that are common in a sample of the texts come last, so that passages
+held by many texts join few of them; the sample bears on speed only.
 
 Texts that share such a shingle are compared by size and by parity bitmaps of 1024 bits, whose
-difference is never more than that of the sets; what is left is verified on the sets. At first each
-text goes with its nearest one of a shingle, and only pairs of different components are
-searched after that, so that a group of near copies doesn't cost all its pairs.
+difference is never more than that of the sets. Pairs are counted over the shingles they
+share, and those that share enough are verified on the sets. At first each text goes with its nearest
+one of a shingle, and only pairs of different components are searched in full after that, so
+that a group of near copies doesn't cost all its pairs.
 """
 
 from __future__ import annotations
@@ -21,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, materialize, rows_of, shared_dir
-from .simhash import components, first_of_each
+from .common import BROADCAST_ROWS, as_bytes, materialize, rows_of, shared_dir
+from .simhash import components, first_of_each, links
 
 SEED, WORDS, SIMILARITY = 42, 5, 0.8
 #: Texts whose shingles tell the common ones, and in how many of these a common one is.
 SAMPLE_TEXTS, COMMON = 4000, 8
 BITS, CELLS = 1024, 1 << 20
+#: Differing bits at which the index gives first links, and the share of `least_shared` that makes a first link.
+DISTANCE, FIRST_SHARE = 3, 0.25
 _ROUNDING = 1e-9
 
 
@@ -50,6 +58,23 @@ def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndar
     return np.concatenate([hashes[~late], hashes[late]])[:n]
 
 
+def least_shared(m: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """How many shingles of their prefixes two similar sets of m and n shingles share at least.
+
+    They share a = ceil(t (m + n) / (1 + t)). Of the prefix that ends first in the order, what is
+    shared lies in the other one too, so that at most ceil(t max(m, n)) - 1 are shared beyond it.
+    """
+    most = np.maximum(m, n)
+    need = np.ceil(similarity / (1 + similarity) * (m + n) - _ROUNDING) - np.ceil(similarity * most - _ROUNDING) + 1
+    return np.maximum(need, 1).astype(np.int64)
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(2 * np.add.reduce(bits, axis=0, dtype=np.int32) > len(hashes)).tobytes(), "little")
+
+
 def bitmap(hashes: np.ndarray) -> bytes:
     odd = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
@@ -86,7 +111,11 @@ def pairs_within(n: np.ndarray, bits: np.ndarray, root: np.ndarray, similarity:
 
 
 def candidates(members: DataFrame, similarity: float, nearest: bool) -> DataFrame:
-    """Distinct (a, b), a < b, of members(shingle, v, n, bits, root) that may be similar."""
+    """Distinct (a, b), a < b, of members(shingle, v, n, bits, root) that share enough of their prefixes to be similar.
+
+    With nearest, those that share FIRST_SHARE of that in shingles where one is the nearest of the other.
+    """
+    share = FIRST_SHARE if nearest else 1.0
 
     def close(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         shingle, v, n, bits, root = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -97,18 +126,20 @@ def candidates(members: DataFrame, similarity: float, nearest: bool) -> DataFram
         apart = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1, dtype=np.int64)
         may = (root[two] != root[two + 1]) & (np.minimum(m, k) >= similarity * np.maximum(m, k) - _ROUNDING)
         two = two[may & (apart <= (1 - similarity) / (1 + similarity) * (m + k) + _ROUNDING)]
-        a, b = [v[two]], [v[two + 1]]
+        a, b, need = [v[two]], [v[two + 1]], [least_shared(n[two], n[two + 1], similarity)]
         for g in np.flatnonzero(sizes > 2).tolist():
             lo, hi = cuts[g], cuts[g + 1]
             if (root[lo:hi] == root[lo]).all():
                 continue
             p, q = pairs_within(n[lo:hi], bits[lo:hi], root[lo:hi], similarity, nearest)
+            if nearest:  # a pair once, though each may be the other's nearest
+                p, q = np.unique(np.sort(np.stack([p, q], axis=1), axis=1), axis=0).T
             a.append(v[lo + p])
             b.append(v[lo + q])
-        a, b = np.concatenate(a), np.concatenate(b)
+            need.append(least_shared(n[lo + p], n[lo + q], similarity))
+        a, b, need = np.concatenate(a), np.concatenate(b), np.concatenate(need)
         if len(a):
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -132,13 +163,15 @@ def candidates(members: DataFrame, similarity: float, nearest: bool) -> DataFram
             yield from close(held)
 
     grouped = members.select("shingle", "v", "n", "bits", "root").repartition("shingle").sortWithinPartitions("shingle")
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+    counted = grouped.mapInArrow(run, "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    return counted.where(F.col("n") >= F.col("need") * share).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, version, root) of each row of docs(doc_id, text): version is a hash of the text, root one of its component of similar texts.
 
-    Null and empty texts are alike. Rows with a null id take part; repeated rows are kept. Other columns are ignored.
+    Null and empty texts are alike. Rows with a null id take part; repeated rows are kept; an empty table gives
+    no rows. A very long text is read whole by one task. Other columns, of whatever names, are ignored.
     """
     uri = shared_dir(docs.sparkSession, "similarity")
     texts = as_bytes(docs).withColumn("version", F.xxhash64("text"))
@@ -162,32 +195,56 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
         for batch in batches:
             sets = [shingles(t, words) for _, t in rows_of(batch)]
             n = pa.array([len(s) for s in sets], pa.int64())
+            fp = pa.array(np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64))
             first = pa.array([prefix(s, common, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array([bitmap(s) for s in sets], pa.binary()), first], names=["v", "n", "bits", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, fp, pa.array([bitmap(s) for s in sets], pa.binary()), first], names=["v", "n", "fp", "bits", "first"])
 
-    distinct = texts.select("version", "text").dropDuplicates(["version"])
-    known = materialize(distinct.mapInArrow(described, "v long, n long, bits binary, first array<long>"), f"{uri}/texts")
-    by_shingle = Window.partitionBy("shingle").orderBy("v")
-    shared = known.select("v", F.explode("first").alias("shingle")).withColumn("before", F.lag("v").over(by_shingle)).withColumn("after", F.lead("v").over(by_shingle))
-    shared = shared.where("before is not null or after is not null").select("shingle", "v")
-    members = materialize(shared.join(known.select("v", "n", "bits"), "v"), f"{uri}/members")
+    # a text that stands there more than once is described once: no text but repeated ones' moves
+    known = materialize(_distinct_texts(texts, ids, uri).mapInArrow(described, "v long, n long, fp long, bits binary, first array<long>"), f"{uri}/texts")
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that are similar, by their whole sets."""
         pairs = materialize(pairs, f"{uri}/{name}-pairs")
         asked = pairs.select(F.col("a").alias("version")).union(pairs.select("b")).distinct()
+        asked = materialize(asked, f"{uri}/{name}-asked")
+        asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
         sets = materialize(sets_of(texts.join(asked, "version", "left_semi")), f"{uri}/{name}-sets")
         both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
         inter = F.size(F.array_intersect("ha", "hb"))
         return materialize(both.where(inter * (1 + similarity) >= similarity * (F.size("ha") + F.size("hb")) - _ROUNDING).select("a", "b"), f"{uri}/{name}-links")
 
-    near = similar(candidates(members.withColumn("root", F.col("v")), similarity, True), "near")
-    roots = components(near, f"{uri}/near").withColumnRenamed("root", "r")
-    rooted = members.join(roots, "v", "left").withColumn("root", F.coalesce("r", "v"))
-    rest = similar(candidates(rooted, similarity, False), "rest")
-    final = components(near.union(rest), f"{uri}/all")
+    # links of the index, between the first texts of their fingerprints, and from each text to the first one of its own
+    least = materialize(known.groupBy("fp").agg(F.min("v").alias("least")), f"{uri}/distinct")
+    index = links(least, distance, f"{uri}/gray", closest=True)
+    pairs = index.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select("x", "y")
+    pairs = pairs.unionByName(known.join(least, "fp").where("v <> least").select(F.col("v").alias("x"), F.col("least").alias("y")))
+    close = similar(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "index")
+
+    by_shingle = Window.partitionBy("shingle").orderBy("v")
+    shared = known.select("v", F.explode("first").alias("shingle")).withColumn("before", F.lag("v").over(by_shingle)).withColumn("after", F.lead("v").over(by_shingle))
+    shared = shared.where("before is not null or after is not null").select("shingle", "v")
+    members = materialize(shared.join(known.select("v", "n", "bits"), "v"), f"{uri}/members")
+
+    def rooted(edges: DataFrame, name: str) -> DataFrame:
+        roots = components(edges, f"{uri}/{name}").withColumnRenamed("root", "r")
+        return members.join(roots, "v", "left").withColumn("root", F.coalesce("r", "v"))
+
+    near = close.unionByName(similar(candidates(rooted(close, "close"), similarity, True), "near"))
+    every_link = near.unionByName(similar(candidates(rooted(near, "near"), similarity, False), "rest"))
+    final = components(every_link, f"{uri}/all")
     return ids.join(final.withColumnRenamed("v", "version"), "version", "left").select("doc_id", "version", F.coalesce("root", "version").alias("root"))
 
 
+def _distinct_texts(texts: DataFrame, ids: DataFrame, uri: str) -> DataFrame:
+    """(version, text), each version once; only texts of versions that repeat are shuffled, if these are few enough to be told by a broadcast."""
+    twice = materialize(ids.groupBy("version").agg(F.count("*").alias("n")).where("n > 1").select("version"), f"{uri}/twice")
+    if twice.count() > BROADCAST_ROWS:
+        return texts.select("version", "text").dropDuplicates(["version"])
+    twice = F.broadcast(twice)
+    once = texts.join(twice, "version", "left_anti").select("version", "text")
+    return once.unionByName(texts.join(twice, "version", "left_semi").select("version", "text").dropDuplicates(["version"]))
+
+
 def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each component: the one of the smallest id, as simhash.deduplicated."""
     return first_of_each(docs, near_duplicates(docs, words, similarity))

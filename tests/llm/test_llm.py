@@ -8,6 +8,7 @@ import brute
 import numpy as np
 import pytest
 from conftest import compare
+from test_similarity import all_pairs
 
 from tessera.llm import chat, decontaminate, lm_score, packing, quality, queries, secret_scan, simhash, suffix_dedup, token_counts, token_ids
 from tokenizers import Tokenizer
@@ -148,6 +149,42 @@ def test_gray_tree_finds_all_links():
     assert set(zip(q.tolist(), m.tolist())) == expected
 
 
+def test_index_prunes_and_loses_nothing(spark, monkeypatch):
+    """Pieces of one hot group, several layouts and one alone against all pairs; most members are cut off with their groups."""
+    rng = np.random.default_rng(4)
+    hot = rng.integers(0, 1 << 16, 1500).astype(np.uint64) | np.uint64(7 << 40)
+    cold = rng.integers(0, 1 << 63, 1500).astype(np.uint64)
+    fp = np.unique(np.concatenate([hot, cold, cold[:300] ^ np.uint64(1 << 33), cold[:200] ^ np.uint64(3)]))
+    expected = brute.components([(int(x), int(x)) for x in fp])
+    distinct = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    for group, piece in ((10**6, 200), (100, 100), (4096, 10**6)):
+        monkeypatch.setattr(simhash, "GROUP", group)
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        uri = simhash.shared_dir(spark, "index-test")
+        roots = {r.v: r.root for r in simhash.components(simhash.links(distinct, 2, uri), uri).collect()}
+        got = {}
+        for x in fp.view(np.int64).tolist():
+            got.setdefault(roots.get(x, x), set()).add(x)
+        classes = {}
+        for x, r in expected.items():
+            classes.setdefault(r, set()).add(int(np.uint64(x).astype(np.int64)))
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, classes.values()))
+    words = rng.integers(0, 1 << 63, 4096).astype(np.uint64)
+    tree = simhash.Tree(words[np.argsort(simhash.gray_rank(words))])
+    tree.near(tree.words, 2)
+    assert tree.cut > 0.75 * tree.met
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    rows = [(1, "a b c d e f g", 1, 2, 3, 4), (1, "a b c d e f g", 1, 2, 3, 5), (2, "a b c d e f g", 1, 2, 3, 6), (None, None, 0, 0, 0, 0), (None, "", 0, 0, 0, 0), (5, "held by the item here now", 0, 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _version int, _v int, item_id int")
+    items = spark.createDataFrame([(1, "held by the item here")], "item_id long, text string")
+    left = simhash.deduplicated(docs)
+    assert left.columns == docs.columns and sorted((r.doc_id is None, r.doc_id) for r in left.collect()) == [(False, 1), (False, 5), (True, None)]
+    clean = decontaminate.decontaminated(docs, items)
+    assert clean.columns == docs.columns and clean.count() == 5
+
+
 def test_token_counts(odd):
     docs, rows = odd
     path = queries.tokenizer_path("piece_bpe_32k.model")
@@ -207,7 +244,9 @@ def test_leaks_on_odd_input(spark, odd):
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
     assert (45, 2) in got and (44, 5) in got and not any(i in (3, 4) for _, i in got)
     left = decontaminate.decontaminated(docs, items)
-    assert left.columns == docs.columns and {44, 45}.isdisjoint(r.doc_id for r in left.collect())
+    long_item = {i for i, k in got if k == 1}
+    assert long_item and left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, _ in rows} - long_item
+    assert sorted(r.item_id for r in decontaminate.short_items(items).collect()) == [2, 5, 5]
 
 
 def test_lm_small_ranges(spark, duck, sf_dir):
@@ -252,8 +291,8 @@ def test_pipeline(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     mask = quality.BASE.mask | quality.DEFAULT.mask
     rows = [r for r in rows if not quality.failed_bits(np.array([quality.measure((r.text or "").encode())]))[0] & mask]
-    roots = brute.components([(r.doc_id, brute.simhash(r.text)) for r in rows])
-    rows = [r for r in rows if roots[r.doc_id] == r.doc_id]
+    stay = set(all_pairs([(r.doc_id, r.text) for r in rows]))
+    rows = [r for r in rows if r.doc_id in stay]
     tokens = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
 
     def shingles(t):

@@ -70,6 +70,21 @@ def test_finds_all_similar_pairs(spark, copies, monkeypatch, common):
     assert len(expected) < simhash.deduplicated(docs).count()
 
 
+def test_least_shared_is_a_bound():
+    """No two similar sets share fewer shingles of their prefixes."""
+    rng = np.random.default_rng(1)
+    none = np.empty(0, np.uint64)
+    for _ in range(3000):
+        m = int(rng.integers(1, 60))
+        every = rng.choice(10**6, 2 * m, replace=False).astype(np.uint64)
+        a = np.sort(every[: int(rng.integers(max(1, m // 2), m + 1))])
+        b = np.unique(np.concatenate([rng.permutation(a)[: len(a) - int(rng.integers(0, 1 + len(a) // 5))], every[m : m + int(rng.integers(0, 1 + len(a) // 5))]]))
+        shared = len(np.intersect1d(a, b))
+        if shared >= 0.8 * (len(a) + len(b) - shared) - 1e-9:
+            met = len(np.intersect1d(similarity.prefix(a, none, 0.8), similarity.prefix(b, none, 0.8)))
+            assert met >= similarity.least_shared(np.array(len(a)), np.array(len(b)), 0.8)
+
+
 def test_pipeline_stage_is_whole(spark, sf_dir):
     import corpus_pipeline
 
