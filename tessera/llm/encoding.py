@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Entries kept (about 200 bytes each), longest stretch kept, bytes of text encoded at a time.
-MEMO, LONGEST, TOGETHER = 500_000, 48, 4 << 20
+MEMO, LONGEST, TOGETHER = 300_000, 48, 2 << 20
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _STOPS = frozenset(b".,;:!?")
 _SPACES = np.zeros(256, bool)

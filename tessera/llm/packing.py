@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, materialize, partition_id, rows_of, shared_dir
+from .common import as_bytes, lean, materialize, partition_id, rows_of, shared_dir
 from .encoding import encoder, together
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, local_rank long"
@@ -104,7 +104,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, cut: str, end_id: int, capacity:
                     names=[c.split()[0] for c in PIECE.split(", ")],
                 )
 
-    return as_bytes(docs).mapInArrow(run, PIECE)
+    return as_bytes(docs).mapInArrow(lean(run), PIECE)
 
 
 def pack(docs: DataFrame, tokenizer: str, cut: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, rows_of
+from .common import as_bytes, bounded_batches, lean, rows_of
 
 #: Bit k of `failed` belongs to RULES[k]. Only append: stored ledgers keep their meaning.
 RULES = ("few_words", "repeats", "symbols", "dup_lines", "word_length", "shouting", "no_letters")
@@ -114,7 +114,7 @@ def ledger(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), *(pa.array(c) for c in m.T), pa.array(failed_bits(m))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *MEASURES, "failed"])
 
-    return as_bytes(docs).mapInArrow(run, LEDGER)
+    return as_bytes(docs).mapInArrow(lean(run), LEDGER)
 
 
 def passes(policy: Policy) -> F.Column:
@@ -137,7 +137,7 @@ def accepted(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
                 failed = failed_bits(np.array([measure((t or "").encode()) for t in texts], np.int64))
                 yield batch.filter(pa.array(failed & mask == 0))
 
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(lean(run), docs.schema)
 
 
 def ablations(found: DataFrame, policy: Policy = DEFAULT) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, as_bytes, drop_dir, materialize, partition_id, rows_of, shared_dir
+from .common import BROADCAST_ROWS, as_bytes, drop_dir, lean, materialize, partition_id, rows_of, shared_dir
 
 SEED, WORDS, DISTANCE = 42, 3, 2
 LEAF, FANOUT, QUERIES = 16, 8, 1024
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t) for _, t in rows_of(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.int64())], names=["doc_id", "version", "fp"])
 
-    return as_bytes(docs).withColumn("version", F.xxhash64("text")).mapInArrow(run, "doc_id long, version long, fp long")
+    return as_bytes(docs).withColumn("version", F.xxhash64("text")).mapInArrow(lean(run), "doc_id long, version long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -235,14 +235,22 @@ def links(distinct: DataFrame, distance: int, uri: str, closest: bool = False) -
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.full(len(node), part << 32 | k)), pa.array(word), pa.array(fp), pa.array(root)], names=["node", "piece", "word", "fp", "root"])
 
     nodes = distinct.select("fp").mapInArrow(spread, "node long, rank long, word long, fp long")
-    placed = nodes.repartitionByRange("node", "rank").sortWithinPartitions("node", "rank").mapInArrow(place, "node long, piece long, word long, fp long, root long")
-    placed = materialize(placed, f"{uri}/index")
-    own = placed.where("root <> fp").select(F.col("fp").alias("a"), F.col("root").alias("b"))
+    hot = materialize(nodes.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > PIECE).select("node"), f"{uri}/index-hot")
+    shape = "node long, piece long, word long, fp long, root long"
+
+    def edges_in(placed: DataFrame) -> DataFrame:
+        return placed.where("root <> fp").select(F.col("fp").alias("a"), F.col("root").alias("b"))
+
+    if hot.isEmpty():
+        return edges_in(nodes.repartition("node").sortWithinPartitions("node", "rank").mapInArrow(lean(place), shape))
+
+    # a group too large for a piece is dealt out by ranges of its Gray order
+    whole = nodes.join(hot, "node", "left_anti").repartition("node").sortWithinPartitions("node", "rank").mapInArrow(lean(place), shape)
+    ranges = nodes.join(hot, "node", "left_semi").repartitionByRange("node", "rank").sortWithinPartitions("node", "rank")
+    placed = materialize(ranges.mapInArrow(lean(place), shape), f"{uri}/index")
+    own = edges_in(whole).unionByName(edges_in(placed))
     top = placed.groupBy("node", "piece").agg(F.expr("bit_and(word)").alias("every"), F.expr("bit_or(word)").alias("some"))
-    several = placed.groupBy("node").agg(F.count_distinct("piece").alias("n")).where("n > 1")
-    top = materialize(top.join(several, "node", "left_semi"), f"{uri}/index-top")
-    if top.isEmpty():
-        return own
+    top = materialize(top, f"{uri}/index-top")
 
     near = F.expr("bit_count((word ^ every) & ~(every ^ some))") <= distance
     there = top.select(F.col("node").alias("n2"), F.col("piece").alias("p2"), "every", "some")
@@ -278,7 +286,7 @@ def links(distinct: DataFrame, distance: int, uri: str, closest: bool = False) -
                         yield pa.RecordBatch.from_arrays([pa.array(fp[s:e][q[first]]), pa.array(names[member[first]])], names=["a", "b"])
 
     both = members.unionByName(asks).repartition("piece").sortWithinPartitions("piece", "asks")
-    return own.unionByName(both.mapInArrow(search, "a long, b long"))
+    return own.unionByName(both.mapInArrow(lean(search), "a long, b long"))
 
 
 def components(edges: DataFrame, uri: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, as_bytes, materialize, rows_of, shared_dir
+from .common import BROADCAST_ROWS, as_bytes, lean, materialize, rows_of, shared_dir
 from .simhash import components, first_of_each, links
 
 SEED, WORDS, SIMILARITY = 42, 5, 0.8
@@ -163,7 +163,7 @@ def candidates(members: DataFrame, similarity: float, nearest: bool) -> DataFram
             yield from close(held)
 
     grouped = members.select("shingle", "v", "n", "bits", "root").repartition("shingle").sortWithinPartitions("shingle")
-    counted = grouped.mapInArrow(run, "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    counted = grouped.mapInArrow(lean(run), "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
     return counted.where(F.col("n") >= F.col("need") * share).select("a", "b")
 
 
@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["v", "hashes"])
 
     def sets_of(some: DataFrame) -> DataFrame:
-        return some.select("version", "text").dropDuplicates(["version"]).mapInArrow(hashed, "v long, hashes array<long>")
+        return some.select("version", "text").dropDuplicates(["version"]).mapInArrow(lean(hashed), "v long, hashes array<long>")
 
     sample = sets_of(texts.where(F.pmod(F.xxhash64("version"), F.lit(every)) == 0)).select(F.explode("hashes").alias("h"))
     often = [r[0] for r in sample.groupBy("h").count().where(F.col("count") >= COMMON).select("h").collect()]
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
             yield pa.RecordBatch.from_arrays([batch.column(0), n, fp, pa.array([bitmap(s) for s in sets], pa.binary()), first], names=["v", "n", "fp", "bits", "first"])
 
     # a text that stands there more than once is described once: no text but repeated ones' moves
-    known = materialize(_distinct_texts(texts, ids, uri).mapInArrow(described, "v long, n long, fp long, bits binary, first array<long>"), f"{uri}/texts")
+    known = materialize(_distinct_texts(texts, ids, uri).mapInArrow(lean(described), "v long, n long, fp long, bits binary, first array<long>"), f"{uri}/texts")
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that are similar, by their whole sets."""
