@@ -78,9 +78,9 @@ def set_union_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir)
 
 
-@query("src_layers", f"WITH {FEATURES} SELECT layer, count(*) AS n FROM feats WHERE layer IN ('supplier') GROUP BY layer")
+@query("src_layers", f"WITH {FEATURES} SELECT layer, count(*) AS n FROM feats WHERE layer IN ('supplier', 'customer') GROUP BY layer")
 def src_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).where(F.col("layer").isin("supplier")).groupBy("layer").agg(F.count("*").alias("n"))
+    return features(spark, sf_dir).where(F.col("layer").isin("supplier", "customer")).groupBy("layer").agg(F.count("*").alias("n"))
 
 
 @query("agg_estimate", "SELECT o_orderkey AS id, count(*) AS points, (count(*) * 32 + length(any_value(o_orderpriority)) + 2048)::BIGINT AS estimate FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
@@ -267,10 +267,11 @@ def srt_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(table(spark, sf_dir, "pages").select(F.col("url").alias("name")).distinct(), "name")
 
 
-@query("jn_resource_refs", "SELECT name, 'missing' AS problem FROM (SELECT DISTINCT doc_id AS name FROM labels WHERE doc_id % 3 = 0) WHERE name NOT IN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0) UNION ALL SELECT doc_id, 'unreferenced' FROM documents WHERE doc_id % 4 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 3 = 0)")
+@query("jn_resource_refs", "SELECT name, 'missing' AS problem FROM (SELECT DISTINCT l_orderkey AS name FROM lineitem) WHERE name NOT IN (SELECT event_id FROM events) UNION ALL SELECT event_id, 'unreferenced' FROM events WHERE event_id NOT IN (SELECT l_orderkey FROM lineitem)")
 def jn_resource_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = table(spark, sf_dir, "documents").where("doc_id % 4 <> 0").select(F.col("doc_id").alias("name"))
-    return tree.unresolved(members, table(spark, sf_dir, "labels").where("doc_id % 3 = 0").select(F.col("doc_id").alias("name")))
+    """Events stand for members, line items for references."""
+    members = table(spark, sf_dir, "events").select(F.col("event_id").alias("name"))
+    return tree.unresolved(members, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("name")))
 
 
 @query("val_refs", "SELECT l_partkey AS name, 'missing' AS problem FROM (SELECT DISTINCT l_partkey FROM lineitem) WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 3) UNION ALL SELECT p_partkey, 'unreferenced' FROM part WHERE p_size > 3 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
@@ -323,17 +324,23 @@ def id_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.changes(now, now)
 
 
-@query("md_property_table", "SELECT min(v) AS no_data FROM (SELECT -9007199254740992::BIGINT + i AS v FROM range(3) t(i)) WHERE v NOT IN (SELECT -9007199254740992::BIGINT + s_suppkey FROM supplier WHERE s_suppkey < 2)")
+@query("md_property_table", "SELECT min(v) AS no_data FROM (SELECT -9007199254740992::BIGINT + unnest(range((SELECT count(*) + 1 FROM supplier))) AS v) WHERE v NOT IN (SELECT -9007199254740992::BIGINT + s_suppkey FROM supplier)")
 def md_property_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.sentinel(table(spark, sf_dir, "supplier").where("s_suppkey < 2").select((F.lit(-(1 << 53)) + F.col("s_suppkey")).alias("v")), "v")
+    return op.sentinel(table(spark, sf_dir, "supplier").select((F.lit(-(1 << 53)) + F.col("s_suppkey")).alias("v")), "v")
 
 
 @query("md_string_offsets", "SELECT s_suppkey, (coalesce(sum(strlen(s_name)) OVER (ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM supplier")
 def md_string_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offsets within a property table, which holds one tile's rows."""
-    before = Window.partitionBy("tile").orderBy("s_suppkey").rowsBetween(Window.unboundedPreceding, -1)
-    s = table(spark, sf_dir, "supplier").withColumn("tile", F.lit(0))
-    return s.select("s_suppkey", F.coalesce(F.sum(F.octet_length("s_name")).over(before), F.lit(0)).cast("long").alias("start"))
+    """Offsets in one table's joined strings: sums within range partitions, and the partitions' bases."""
+    from tessera.operators.checkpoints import stored
+
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.octet_length("s_name").cast("long").alias("size"))
+    dealt = stored(s.repartitionByRange("s_suppkey").sortWithinPartitions("s_suppkey").withColumn("part", F.spark_partition_id()), "offsets")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy("part").agg(F.sum("size").alias("size")).select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("base"))
+    before = Window.partitionBy("part").orderBy("s_suppkey").rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.withColumn("own", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    return own.join(F.broadcast(bases), "part").select("s_suppkey", (F.col("own") + F.col("base")).alias("start"))
 
 
 @query("md_feature_ids", "SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS feature_id FROM customer")

@@ -51,22 +51,20 @@ def agg_prefix_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tile tree of four levels from the parts: paths of one letter a level, errors that mostly fall."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 1365")
+    """A tile tree of all parts: keys fill the levels of a tree of four children a tile in order, so that it deepens as the table grows. Errors mostly fall."""
     k = F.col("p_partkey")
-    digits = F.when(k < 1, "").when(k < 5, F.concat(((k - 1) % 4).cast("string"))).when(k < 21, F.concat(F.floor((k - 5) / 4).cast("string"), ((k - 5) % 4).cast("string"))).when(k < 85, F.concat(F.floor((k - 21) / 16).cast("string"), F.floor((k - 21) / 4 % 4).cast("string"), ((k - 21) % 4).cast("string")))
-    digits = digits.when(k < 341, F.concat(F.floor((k - 85) / 64).cast("string"), F.floor((k - 85) / 16 % 4).cast("string"), F.floor((k - 85) / 4 % 4).cast("string"), ((k - 85) % 4).cast("string")))
-    digits = digits.otherwise(F.concat(F.floor((k - 341) / 256).cast("string"), F.floor((k - 341) / 64 % 4).cast("string"), F.floor((k - 341) / 16 % 4).cast("string"), F.floor((k - 341) / 4 % 4).cast("string"), ((k - 341) % 4).cast("string")))
-    tiles = p.select(digits.alias("path"), F.col("p_retailprice").cast("double").alias("error"), F.col("p_size").cast("long").alias("size"))
+    first = lambda level: F.expr(f"(shiftleft(1L, cast(2 * {level} as int)) - 1) div 3")
+    level = F.size(F.filter(F.sequence(F.lit(1), F.lit(30)), lambda n: k >= F.floor((F.pow(F.lit(4.0), n) - 1) / 3)))
+    p = table(spark, sf_dir, "part").withColumn("level", level)
+    digits = F.expr("aggregate(transform(sequence(1, greatest(level, 1)), i -> if(level = 0, '', cast(shiftright(at, 2 * (level - i)) & 3L as string))), '', (a, x) -> concat(a, x))")
+    tiles = p.withColumn("at", k - first("level")).select(digits.alias("path"), F.col("p_retailprice").cast("double").alias("error"), F.col("p_size").cast("long").alias("size"))
     parent = F.when(F.length("path") > 0, F.expr("substring(path, 1, length(path) - 1)"))
     return tiles.withColumn("parent", parent)
 
 
-_TILES = """tiles AS (SELECT path, error, size, CASE WHEN length(path) > 0 THEN substr(path, 1, length(path) - 1) END AS parent FROM (SELECT p_retailprice::DOUBLE AS error, p_size::BIGINT AS size, CASE
- WHEN p_partkey < 1 THEN '' WHEN p_partkey < 5 THEN ((p_partkey - 1) % 4)::VARCHAR WHEN p_partkey < 21 THEN ((p_partkey - 5) // 4)::VARCHAR || ((p_partkey - 5) % 4)
- WHEN p_partkey < 85 THEN ((p_partkey - 21) // 16)::VARCHAR || ((p_partkey - 21) // 4 % 4) || ((p_partkey - 21) % 4)
- WHEN p_partkey < 341 THEN ((p_partkey - 85) // 64)::VARCHAR || ((p_partkey - 85) // 16 % 4) || ((p_partkey - 85) // 4 % 4) || ((p_partkey - 85) % 4)
- ELSE ((p_partkey - 341) // 256)::VARCHAR || ((p_partkey - 341) // 64 % 4) || ((p_partkey - 341) // 16 % 4) || ((p_partkey - 341) // 4 % 4) || ((p_partkey - 341) % 4) END AS path FROM part WHERE p_partkey < 1365))"""
+_TILES = """levels AS (SELECT *, len(list_filter(range(1, 31), lambda n: p_partkey >= ((1::BIGINT << (2 * n)::INT) - 1) // 3)) AS level FROM part),
+tiles AS (SELECT path, error, size, CASE WHEN length(path) > 0 THEN substr(path, 1, length(path) - 1) END AS parent FROM (SELECT p_retailprice::DOUBLE AS error, p_size::BIGINT AS size,
+ array_to_string(list_transform(range(1, level + 1), lambda i: ((p_partkey - ((1::BIGINT << (2 * level)::INT) - 1) // 3) >> (2 * (level - i))::INT) & 3), '') AS path FROM levels))"""
 
 
 @query("agg_max_error", f"WITH {_TILES} SELECT a.path, max(b.error) AS error FROM tiles a JOIN tiles b ON starts_with(b.path, a.path) GROUP BY a.path")
@@ -106,9 +104,12 @@ def agg_level_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tiles(spark, sf_dir).groupBy(F.length("path").alias("level")).agg(F.count("*").alias("tiles"), F.sum("size").alias("size"))
 
 
-@query("agg_counters", f"WITH {_TILES} SELECT count(*) AS tiles, count(*) FILTER (length(path) = 5) AS leaves, max(size) AS largest, max(error) AS worst FROM tiles")
+@query("agg_counters", f"WITH {_TILES} SELECT count(*) AS tiles, count(*) FILTER (path NOT IN (SELECT parent FROM tiles WHERE parent IS NOT NULL)) AS leaves, max(size) AS largest, max(error) AS worst FROM tiles")
 def agg_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tiles(spark, sf_dir).agg(F.count("*").alias("tiles"), F.sum((F.length("path") == 5).cast("long")).alias("leaves"), F.max("size").alias("largest"), F.max("error").alias("worst"))
+    t = _tiles(spark, sf_dir)
+    inner = t.where("parent is not null").select(F.col("parent").alias("path"), F.lit(1).alias("inner")).distinct()
+    t = t.join(inner, "path", "left")
+    return t.agg(F.count("*").alias("tiles"), F.sum(F.col("inner").isNull().cast("long")).alias("leaves"), F.max("size").alias("largest"), F.max("error").alias("worst"))
 
 
 @query("agg_leaf_fragments", f"WITH {_TILES} SELECT parent, count(*) AS fragments, sum(size)::BIGINT AS total FROM tiles WHERE parent IS NOT NULL GROUP BY parent")

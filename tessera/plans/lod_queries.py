@@ -55,11 +55,10 @@ def val_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.bounds_violations(tight.withColumn("parent", F.when(F.length("path") > 0, F.expr("substring(path, 1, length(path) - 1)"))))
 
 
-@query("val_empty_vector_error", _BOXES + f" SELECT path FROM box WHERE n % 2 = 0 AND length(path) < 4 AND lx + 5000 < 16 * {_DIAGONAL}")
+@query("val_empty_vector_error", _BOXES + f" SELECT path FROM box WHERE lx + 5000 < 16 * {_DIAGONAL}")
 def val_empty_vector_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles without content (those of even count stand for them) whose error is below the floor."""
-    b = _boxes(spark, sf_dir).where("n % 2 = 0 and length(path) < 4")
-    return b.where(F.col("lx") + 5000 < F.lit(16.0) * hierarchy.diagonal()).select("path")
+    """Tiles without content (all stand for them) whose error, from their box's corner, is below the floor."""
+    return _boxes(spark, sf_dir).where(F.col("lx") + 5000 < F.lit(16.0) * hierarchy.diagonal()).select("path")
 
 
 @query("lod_point_parent_error", f"WITH {CLOUD}, b AS (SELECT label, max(x) - min(x) AS ex, max(y) - min(y) AS ey, max(z) - min(z) AS ez FROM pts GROUP BY label) SELECT label, round(sqrt(least(0.5, ex) ** 2 + least(0.5, ey) ** 2 + least(0.5, ez) ** 2), 9) AS error FROM b")
@@ -140,21 +139,23 @@ def par_omissible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), (kind.isin("LineString", "Polygon") & (F.col("o_orderstatus") != "F")).alias("omissible"))
 
 
-@query("agg_co_render_groups", """WITH RECURSIVE h AS (SELECT DISTINCT l_suppkey AS vertex, l_partkey % 700 AS tile FROM lineitem WHERE l_orderkey % 40 = 0),
-e AS (SELECT DISTINCT a.tile AS a, b.tile AS b FROM h a JOIN h b USING (vertex)), r AS (SELECT a AS tile, a AS grp FROM e UNION SELECT r.tile, e.b FROM r JOIN e ON e.a = r.grp)
+@query("agg_co_render_groups", """WITH RECURSIVE h AS (SELECT DISTINCT l_suppkey AS vertex, l_partkey % 700 AS tile FROM lineitem),
+r AS (SELECT 0 AS k, tile, tile AS grp FROM (SELECT DISTINCT tile FROM h) UNION ALL
+ SELECT any_value(v.k) + 1, h.tile, min(v.grp) FROM (SELECT any_value(r.k) AS k, h.vertex, min(r.grp) AS grp FROM r JOIN h ON h.tile = r.tile WHERE r.k < 24 GROUP BY h.vertex) v JOIN h ON h.vertex = v.vertex GROUP BY h.tile)
 SELECT 't' || lpad(tile::VARCHAR, 4, '0') AS path, 't' || lpad(min(grp)::VARCHAR, 4, '0') AS grp FROM r GROUP BY tile""")
 def agg_co_render_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers stand for vertices, part numbers for tiles without relatives."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0")
+    li = table(spark, sf_dir, "lineitem")
     tile = F.concat(F.lit("t"), F.lpad((F.col("l_partkey") % 700).cast("string"), 4, "0"))
     return graph.co_render_groups(li.select(F.col("l_suppkey").alias("vertex"), tile.alias("path")))
 
 
-@query("jn_catalog_index", "SELECT coalesce(md5(p.url), md5(d.url)) AS md5, p.url AS name, d.page_id AS indexed FROM (SELECT url FROM pages WHERE page_id % 7 <> 0) p FULL JOIN (SELECT url, page_id FROM pages WHERE page_id % 5 <> 0) d ON md5(p.url) = md5(d.url)")
+@query("jn_catalog_index", "SELECT coalesce(md5(p.url), d.md5) AS md5, p.url AS name, d.indexed FROM pages p FULL JOIN (SELECT md5(regexp_replace(url, '[?#].*', '')) AS md5, min(page_id) AS indexed FROM pages GROUP BY md5(regexp_replace(url, '[?#].*', ''))) d ON md5(p.url) = d.md5")
 def jn_catalog_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of addresses without query and fragment against the pages: both sides have entries that the other lacks."""
     pages = table(spark, sf_dir, "pages")
-    members = feat.index_order(pages.where("page_id % 7 <> 0").select("url"), "url").select("md5", F.col("url").alias("name"))
-    index = pages.where("page_id % 5 <> 0").select(F.md5("url").alias("md5"), F.col("page_id").alias("indexed"))
+    members = feat.index_order(pages.select("url"), "url").select("md5", F.col("url").alias("name"))
+    index = pages.groupBy(F.md5(F.regexp_replace("url", "[?#].*", "")).alias("md5")).agg(F.min("page_id").alias("indexed"))
     return members.join(index, "md5", "full")
 
 
