@@ -31,8 +31,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.apply_policy(quality.ledger(documents(spark, sf_dir)))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+    found = quality.told_with_ablations(quality.stored_ledger(documents(spark, sf_dir)), quality.POLICIES["default", 1])
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "policy", "sole_rule", "n_back_without")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,8 @@ f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_word
              + 8 * (10 * n_dup_lines > 6 * n_lines)::BIGINT + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 14 * n_words))::BIGINT
              + 32 * (n_words > 0 AND 10 * n_upper > 4 * n_words)::BIGINT + 64 * (n_words > 0 AND 10 * n_letters < 6 * n_words)::BIGINT AS failed FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
-       (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
+       (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed, 'default/1' AS policy, CASE failed WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeats' WHEN 4 THEN 'symbols' WHEN 8 THEN 'dup_lines'
+       WHEN 16 THEN 'word_length' WHEN 32 THEN 'shouting' WHEN 64 THEN 'no_letters' END AS sole_rule, CASE WHEN failed IN (1, 2, 4, 8, 16, 32, 64) THEN count(*) OVER (PARTITION BY failed) END AS n_back_without FROM f
 """
 
 

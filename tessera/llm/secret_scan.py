@@ -1,8 +1,11 @@
 """Secret scans: fixed patterns, plus character Markov models for strings that look random.
 
-Two first-order character models, one of random strings and one of ordinary identifiers,
-are trained from labelled samples. A run of key characters is a secret if its mean
-log-likelihood ratio per character is above a threshold. The models are two small tables.
+Two first-order character models, one of random strings and one of ordinary words, identifiers and
+numbers, are trained from labelled samples. Along a run of key characters each step has a
+log-likelihood ratio; the stretch with the largest sum of what exceeds a threshold is a secret if it is
+long enough and its sum is large enough, and what stands on either side of it is searched
+again. So words joined to a key don't dilute it. What fixed patterns cover is left out first,
+and the rest of such a run is searched. The models are two small tables.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-SHORTEST_RUN = 20
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Characters of a run, of the best stretch in it and of that with the letters and digits around it, at least; runs whose stretches a worker remembers.
+SHORTEST_RUN, SHORTEST_CORE, SHORTEST_STRETCH, MEMO = 12, 5, 10, 100_000
 #: Documents whose words train the model of identifiers, and how many distinct words at most.
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 20_000
 
@@ -41,36 +45,78 @@ class Markov:
 
 
 class Detector:
-    def __init__(self, random_strings: list[str], identifiers: list[str], threshold: float = 0.5):
-        self.ratio = Markov(random_strings).log - Markov(identifiers).log
-        self.threshold = threshold
+    """threshold: log-likelihood ratio that a character of a random stretch exceeds in the mean; evidence: the least sum beyond it."""
 
-    def score(self, s: str) -> float:
-        """Mean log-likelihood ratio per character."""
-        b = np.frombuffer(b"\0" + s.encode("ascii", "ignore"), np.uint8)
-        return float(self.ratio[b[:-1], b[1:]].mean()) if len(b) > 1 else 0.0
+    def __init__(self, random_strings: list[str], identifiers: list[str], threshold: float = 0.0, evidence: float = 5.0):
+        self.ratio = Markov(random_strings).log - Markov(identifiers).log
+        self.threshold, self.evidence = threshold, evidence
+        self.memo: dict[str, list[tuple[int, int]]] = {}
+
+    def gains(self, s: str) -> np.ndarray:
+        b = np.frombuffer(b"\0" + s.encode("ascii", "replace"), np.uint8)
+        return self.ratio[b[:-1], b[1:]] - self.threshold
+
+    def stretches(self, s: str) -> list[tuple[int, int]]:
+        """Random-looking (start, end) in a run of key characters, out to the letters and digits around them."""
+        if s in self.memo:
+            return self.memo[s]
+        gains, out, open_parts = self.gains(s), [], [(0, len(s))]
+        while open_parts:
+            i, j = open_parts.pop()
+            if j - i < SHORTEST_CORE:
+                continue
+            sums = np.concatenate([[0.0], np.cumsum(gains[i:j])])
+            rise = sums - np.minimum.accumulate(sums)
+            end = int(rise.argmax())
+            if rise[end] < self.evidence:
+                continue
+            begin, end = i + int(sums[: end + 1].argmin()), i + end
+            open_parts += [(i, begin), (end, j)]
+            if end - begin < SHORTEST_CORE:
+                continue
+            while begin > 0 and s[begin - 1].isalnum():
+                begin -= 1
+            while end < len(s) and s[end].isalnum():
+                end += 1
+            if end - begin >= SHORTEST_STRETCH:
+                out.append((begin, end))
+        merged: list[tuple[int, int]] = []
+        for i, j in sorted(out):
+            if merged and i < merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(j, merged[-1][1]))
+            else:
+                merged.append((i, j))
+        if len(self.memo) < MEMO and len(s) <= 64:
+            self.memo[s] = merged
+        return merged
 
     def is_random(self, s: str) -> bool:
-        return self.score(s) > self.threshold
+        return bool(self.stretches(s))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": {}}
 
 
 def random_samples(n: int, seed: int) -> list[str]:
     """Labelled 1: keys over the usual alphabets."""
     rng = random.Random(seed)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    alphabets = (digits + "abcdef", lower + digits, lower + upper + digits, lower + upper + digits + "+/", lower + upper + digits + "_-")
-    return ["".join(rng.choices(alphabets[k % len(alphabets)], k=rng.randint(20, 64))) for k in range(n)]
+    alphabets = (digits + "abcdef", digits + "ABCDEF", lower + digits, upper + digits, lower + upper + digits, lower + upper + digits + "+/", lower + upper + digits + "_-")
+    return ["".join(rng.choices(alphabets[k % len(alphabets)], k=rng.randint(12, 64))) for k in range(n)]
 
 
 def identifier_samples(words: list[str], n: int, seed: int) -> list[str]:
-    """Labelled 0: words as they stand and joined as identifiers and paths are."""
+    """Labelled 0: words as they stand and joined as identifiers and paths are, some with a number; dates, times and other numbers."""
     rng = random.Random(seed)
     words = [w for w in words if w] or ["name"]
+    number = lambda most: str(rng.randrange(10 ** rng.randint(1, most)))
     out = []
     for k in range(n):
         w = [rng.choice(words) for _ in range(rng.randint(1, 5))]
         joined = ("_".join(w), "".join(x.capitalize() for x in w), "-".join(w), "/".join(w), "".join(w), "_".join(w).upper())[k % 6]
-        out.append(joined + (str(rng.randint(0, 2030)) if k % 7 == 0 else ""))
+        out.append(joined + (rng.choice(("", "_", "-", "/")) + number(4) if k % 5 == 0 else ""))
+        if k % 4 == 0:
+            out.append(rng.choice(("-", "/", "", "+", "_")).join(number(6) for _ in range(rng.randint(1, 5))))
     return out
 
 
@@ -88,7 +134,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, n: int = 6000, seed: in
 
 
 def find_spans(text: str, detector: Detector | None = None) -> list[tuple[int, int, int]]:
-    """(start, end, kind) in code points, by start, then kind. A random run inside a pattern's span is not told twice."""
+    """(start, end, kind) in code points, by start, then kind. What a pattern's span covers is not searched for random stretches."""
     spans = []
     if "=" in text or ":" in text:
         spans += [(*m.span(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
@@ -98,11 +144,13 @@ def find_spans(text: str, detector: Detector | None = None) -> list[tuple[int, i
     if longest >= 32:
         spans += [(*m.span(), 2) for m in HEX.finditer(text)]
     if detector and longest >= SHORTEST_RUN:
-        base = list(spans)
+        base = sorted((a, b) for a, b, _ in spans)
         for m in RUN.finditer(text):
-            i, j = m.span()
-            if not any(a < j and i < b for a, b, _ in base) and detector.is_random(m[0]):
-                spans.append((i, j, 3))
+            i, end = m.span()
+            for a, b in [s for s in base if s[0] < end and i < s[1]] + [(end, end)]:
+                if a - i >= SHORTEST_RUN:
+                    spans += [(i + x, i + y, 3) for x, y in detector.stretches(text[i:a])]
+                i = max(i, b)
     return sorted(spans, key=lambda s: (s[0], s[2], s[1]))
 
 
@@ -113,8 +161,8 @@ def told(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, detector: Detector | None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans) of each row of docs(doc_id, text).
 
-    A null or empty text has no spans. Null and repeated ids are kept; other columns are
-    ignored; an empty table gives no rows.
+    A null or empty text has no spans. Null and repeated ids are kept, a row each; other columns, of
+    whatever names, are ignored; an empty table gives no rows. A very long text is searched whole by one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -80,3 +80,62 @@ def greedy(word, opening, going_on):
             return None
         n, i = n + 1, j
     return n
+
+
+def base_spans(text):
+    """Spans of the fixed kinds by walking the text, as (start, end, kind)."""
+    out, low = [], "".join(c.lower() if c.isascii() else c for c in text)
+    names = ["password", "passwd", "secret", "token", "api_key", "apikey"]
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(i, allowed):
+        j = i
+        while j < len(text) and text[j] in allowed:
+            j += 1
+        return j
+
+    def assign(i):
+        for name in names:
+            if not low.startswith(name, i):
+                continue
+            j = i + len(name)
+            for quotes, separators in (("\"'", None), ("", ":="), ("\"'", None)):
+                if separators:
+                    j = run(j, " ")
+                    if j >= len(text) or text[j] not in separators:
+                        break
+                    j = run(j + 1, " ")
+                elif j < len(text) and text[j] in quotes:
+                    j += 1
+            else:
+                end = run(j, value)
+                if end > j:
+                    return j, end
+        return None
+
+    i = 0
+    while i < len(text):
+        found = assign(i)
+        if found:
+            if found[1] - found[0] >= 8:
+                out.append((i, found[1], 0))
+            i = found[1]
+        else:
+            i += 1
+    i = 0
+    while i < len(text):
+        end = run(i + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) if text.startswith("AKIA", i) else i
+        if end > i + 4:
+            out += [(i, end, 1)] * (end - i >= 16)
+        i = max(end, i + 1) if end > i + 4 else i + 1
+    i = 0
+    while i < len(text):
+        end = run(i, set("0123456789abcdef"))
+        out += [(i, end, 2)] * (end - i >= 32)
+        i = max(end, i + 1)
+    return sorted(out, key=lambda s: (s[0], s[2], s[1]))
+
+
+def best_stretch(gains):
+    """(sum, start, end) of the run of numbers with the largest sum, the shortest and earliest of equal ones last."""
+    return max(((sum(gains[i:j]), i, j) for i in range(len(gains)) for j in range(i + 1, len(gains) + 1)), key=lambda x: x[0])
