@@ -1,20 +1,26 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-The model is two tables of n-gram hashes with their counts over the whole corpus, partitioned
-by hash. Texts are kept in blocks on shared storage. A block explodes its n-grams and asks for
-each distinct one once, in packets by hash range; a range adds the blocks' counts up, which is its
-share of the count table, and answers every packet from it; a block then sums the scores
-of its documents. So a frequent n-gram costs one entry per block that holds it, not one
-per occurrence, and nothing is sent to the driver.
+The model is a table of n-gram hashes of all orders with their counts over the whole corpus,
+partitioned by hash. Texts are kept in blocks on shared storage. A block explodes its n-grams
+and adds equal ones up; a row of the exploded table holds those of one block in one hash range,
+sorted and front-coded, since a row per n-gram would take several times the input. The rows are
+shuffled by range; a range sums them, which is its share of the count table, joins the
+sums back to the rows, and tells each block the n-grams that other blocks have too. A block then
+sums the scores of its documents. A frequent n-gram costs one entry per block that holds it, a row
+is never empty, so that rows are no more than n-grams, and nothing is sent to the driver.
 
-S(w | v) = c(v w) / c(v)               if c(v w) >= min_count,
-           backoff * c(w) / N          otherwise and for the first word of a document.
+Word i of a document is scored with the words before it, order - 1 at most:
+
+S(w | u v) = c(u v w) / c(u v)         if c(u v w) >= min_count,
+             backoff * S(w | v)        otherwise;   S(w) = c(w) / N.
 
 A document's score is the sum over its words of round(1e6 ln S), an exact integer in any order.
+N-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Packets, as_bytes, blocks_of, drop_dir, materialize, partition_id, read_block, read_packet, shared_dir, write_block
+from .common import as_bytes, blocks_of, lean, materialize, read_block, shared_dir, write_block
 
-MIN_COUNT, BACKOFF = 2, 0.4
-#: Bytes of text whose n-grams make one hash range.
-RANGE_BYTES = 24 << 20
+ORDER, MIN_COUNT, BACKOFF = 3, 1, 0.4
+#: Bytes of text of a block, and of those whose n-grams make one hash range; most tasks over the ranges.
+BLOCK_BYTES, RANGE_BYTES, MOST_TASKS = 8 << 20, 8 << 20, 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -38,8 +46,13 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def block_ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word of all texts in a row, first word's index of each text and the end, hash of each word with the one before it in its text)."""
+def count_words(text: bytes) -> int:
+    space = _SPACE[np.frombuffer(text, np.uint8)]
+    return int(np.count_nonzero(space[:-1] & ~space[1:])) + int(len(space) > 0 and not space[0])
+
+
+def block_ngrams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(first word's index of each text and the end, place of each word in its text, for n = 1 .. order the hash of the n-gram that ends at each word)."""
     known: dict[bytes, int] = {}
     ids: list[int] = []
     at = [0]
@@ -50,42 +63,53 @@ def block_ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     names = np.array([digest(w) for w in known], np.uint64)
     words = names[np.array(ids, np.int64)] if ids else np.empty(0, np.uint64)
     starts = np.array(at, np.int64)
-    second = np.ones(len(words), bool)
-    second[starts[:-1][np.diff(starts) > 0]] = False
-    pairs = np.zeros(len(words), np.uint64)
-    k = np.flatnonzero(second)
-    pairs[k] = _pair(words[k - 1], words[k])
-    return words, starts, pairs
+    place = np.arange(len(words)) - np.repeat(starts[:-1], np.diff(starts))
+    grams = [words]
+    for _ in range(1, order):
+        longer = np.zeros_like(words)
+        longer[1:] = _pair(grams[-1][:-1], words[1:])
+        grams.append(longer)
+    return starts, place, grams
+
+
+def _ending(place: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
+    """The hashes of all n-grams that lie within a text, by order."""
+    return np.concatenate([g[place >= n] for n, g in enumerate(grams)])
+
+
+def _sums(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, how often each stands there)."""
+    first = np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1]])) if len(ascending) else np.empty(0, np.int64)
+    return ascending[first], np.diff(np.append(first, len(ascending)))
 
 
-def asked(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Everything a block knows: words, starts, pairs, which words follow one, and sorted distinct hashes with counts for both orders."""
-    words, starts, pairs = block_ngrams(texts)
-    follows = np.ones(len(words), bool)
-    follows[starts[:-1][np.diff(starts) > 0]] = False
-    one = np.unique(words, return_counts=True)
-    two = np.unique(pairs[follows], return_counts=True)
-    return words, starts, pairs, follows, one, two
+def _packed(raw: bytes) -> bytes:
+    return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> bytes:
+    return pa.decompress(memoryview(blob)[8:], struct.unpack_from("<q", blob)[0], codec="zstd", asbytes=True)
 
 
 def _planes(values: np.ndarray) -> bytes:
     """Ascending hashes as differences, by byte planes, so that the upper planes compress away."""
     d = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return d.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return _packed(d.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _from_planes(blob: bytes) -> np.ndarray:
-    d = np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    d = np.ascontiguousarray(np.frombuffer(_unpacked(blob), np.uint8).reshape(8, -1).T).view("<u8").ravel()
     return np.cumsum(d, dtype=np.uint64)
 
 
 def _small(counts: np.ndarray) -> bytes:
     """Counts as bytes, with 255 standing for the next of the large ones, which follow."""
     large = counts >= 255
-    return np.uint32(len(counts)).tobytes() + np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<u8").tobytes()
+    return _packed(np.uint32(len(counts)).tobytes() + np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<u8").tobytes())
 
 
 def _from_small(blob: bytes) -> np.ndarray:
+    blob = _unpacked(blob)
     n = int(np.frombuffer(blob, "<u4", 1)[0])
     out = np.frombuffer(blob, np.uint8, n, 4).astype(np.int64)
     out[out == 255] = np.frombuffer(blob, "<u8", offset=4 + n).astype(np.int64)
@@ -98,93 +122,123 @@ def _in_ranges(values: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(values, np.array([step * k for k in range(1, n)], np.uint64)), [len(values)]]).astype(np.int64)
 
 
-def scores(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF, ranges: int | None = None) -> DataFrame:
-    """(doc_id, n_words, n_backoff, score_micro) of each row of docs(doc_id, text), the counts being those of all of docs.
+def scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, ranges: int | None = None) -> DataFrame:
+    """(doc_id, n_words, n_backoff, n_once, score_micro) of each row of docs(doc_id, text), the counts being those of all of docs.
 
+    n_backoff counts the steps back to shorter n-grams, n_once the words whose longest n-gram stands once in docs.
     A null or empty text has no words and score 0. Null and repeated ids are kept; repeated
-    rows count as often as they stand there. An empty table gives no rows. Other
-    columns are ignored.
+    rows count as often as they stand there. An empty table gives no rows. A very long text is a
+    block of its own. Other columns, of whatever names, are ignored.
     """
     spark = docs.sparkSession
     uri = shared_dir(spark, "lm")
-    if ranges is None:
-        size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-        ranges = max(1, -(-size // RANGE_BYTES))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = partition_id()
-        for k, (ids, texts) in enumerate(blocks_of(batches)):
-            block = f"{part:06d}-{k:04d}"
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        for ids, texts in blocks_of(batches, BLOCK_BYTES):
+            # a name of its own for each attempt: only the names of finished ones are told
+            block = uuid.uuid4().hex
             write_block(f"{uri}/blocks", block, ids, texts)
-            words, _, _, _, one, two = asked(texts)
-            packets, out = Packets(f"{uri}/packets", block), []
-            for order, (h, n) in ((1, one), (2, two)):
+            yield pa.RecordBatch.from_pydict({"block": [block], "size": [sum(map(len, texts))], "n_words": [sum(map(count_words, texts))]})
+
+    blocks = materialize(as_bytes(docs).mapInArrow(lean(store), "block string, size long, n_words long"), f"{uri}/block-names")
+    total, size, n_blocks = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), F.greatest(F.count("*"), F.lit(1))).first()
+    ranges = ranges or max(1, -(-size // RANGE_BYTES))
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("block").to_pylist():
+                _, place, grams = block_ngrams(read_block(f"{uri}/blocks", block)[1], order)
+                h, n = _sums(np.sort(_ending(place, grams)))
                 at = _in_ranges(h, ranges)
-                for r in range(ranges):
-                    i, j = at[r], at[r + 1]
-                    if i < j or order == 1 and r == 0:  # so that every block is there
-                        out.append((r, order, *packets.add([_planes(h[i:j]), _small(n[i:j])]), len(words)))
-            packets.commit()
-            range_of, order_of, at_of, size_of, n_words = np.array(out, np.int64).T
-            yield pa.RecordBatch.from_pydict({"block": [block] * len(out), "range": pa.array(range_of.astype(np.int32)), "ord": pa.array(order_of.astype(np.int32)), "at": pa.array(at_of), "size": pa.array(size_of), "n_words": pa.array(n_words)})
-
-    packets = materialize(as_bytes(docs).mapInArrow(ask, "block string, range int, ord int, at long, size long, n_words long"), f"{uri}/asked")
-    total, n_blocks = packets.where("range = 0 and ord = 1").agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.greatest(F.count("*"), F.lit(1))).first()
-
-    def answer(table: pa.Table) -> pa.Table:
-        """All packets of one range and order: their sums, told to each packet."""
-        places = zip(*(table.column(n).to_pylist() for n in ("block", "at", "size")), strict=True)
-        got = [read_packet(f"{uri}/packets", *p, 2) for p in places]
-        hashes, counts = [_from_planes(h) for h, _ in got], [_from_small(n) for _, n in got]
-        joined, own = np.concatenate(hashes), np.concatenate(counts)
-        keys, at = np.unique(joined, return_inverse=True)
-        summed = np.zeros(len(keys), np.int64)
-        np.add.at(summed, at, own)
-        full, ends = summed[at], np.cumsum([len(h) for h in hashes])
-        told = [_small(full[e - len(h) : e]) for e, h in zip(ends, hashes, strict=True)]
-        return pa.table({"block": table.column("block"), "range": table.column("range"), "ord": table.column("ord"), "n": pa.array(told, pa.binary())})
-
-    answers = materialize(packets.repartition(2 * ranges, "range", "ord").groupBy("range", "ord").applyInArrow(answer, "block string, range int, ord int, n binary"), f"{uri}/answers")
-    drop_dir(spark, f"{uri}/packets")
+                some = np.flatnonzero(np.diff(at))
+                for k in range(0, len(some), 64):
+                    own = some[k : k + 64]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(own.astype(np.int32)), pa.array([block] * len(own), pa.string()),
+                        pa.array([_planes(h[at[r] : at[r + 1]]) for r in own], pa.binary()), pa.array([_small(n[at[r] : at[r + 1]]) for r in own], pa.binary()),
+                    ], names=["range", "block", "grams", "n"])
+
+    def join(table: pa.Table) -> pa.Table:
+        """All rows of one hash range: their sums, joined back and told to each block where they are more than its own."""
+        hashes = [_from_planes(b) for b in table.column("grams").to_pylist()]
+        own = [_from_small(b) for b in table.column("n").to_pylist()]
+        every, counts = np.concatenate(hashes), np.concatenate(own)
+        by_hash = np.argsort(every)
+        _, often = _sums(every[by_hash])
+        summed = np.add.reduceat(counts[by_hash], np.cumsum(often) - often)
+        full = np.empty_like(counts)
+        full[by_hash] = np.repeat(summed, often)
+        more = full != counts
+        out = []
+        ends = np.cumsum([len(h) for h in hashes])
+        for block, e, h in zip(table.column("block").to_pylist(), ends.tolist(), hashes, strict=True):
+            i = e - len(h)
+            if more[i:e].any():
+                out.append((block, _packed(np.packbits(more[i:e]).tobytes()), _small(full[i:e][more[i:e]])))
+        names, masks, totals = zip(*out, strict=True) if out else ((), (), ())
+        r = table.column("range")[0].as_py()
+        return pa.table({"block": pa.array(names, pa.string()), "range": pa.array([r] * len(out), pa.int32()), "mask": pa.array(masks, pa.binary()), "totals": pa.array(totals, pa.binary())})
+
+    exploded = blocks.select("block").repartition(n_blocks, "block").mapInArrow(lean(explode), "range int, block string, grams binary, n binary")
+    told = exploded.repartition(min(ranges, MOST_TASKS), "range").groupBy("range").applyInArrow(join, "block string, range int, mask binary, totals binary")
+    marks = blocks.select("block", F.lit(None).cast("int").alias("range"), F.lit(None).cast("binary").alias("mask"), F.lit(None).cast("binary").alias("totals"))
+    told = materialize(told.unionByName(marks), f"{uri}/told")
 
     def score(table: pa.Table) -> pa.Table:
-        """All answers to one block."""
-        block = table.column("block")[0].as_py()
-        ids, texts = read_block(f"{uri}/blocks", block)
-        words, starts, pairs, follows, (one, _), (two, _) = asked(texts)
-        got = sorted(zip(table.column("ord").to_pylist(), table.column("range").to_pylist(), table.column("n").to_pylist(), strict=True), key=lambda x: x[:2])
-        c1, c2 = (np.concatenate([_from_small(b) for o, _, b in got if o == order] or [np.empty(0, np.int64)]) for order in (1, 2))
-        n1 = c1[np.searchsorted(one, words)].astype(np.float64)
-        s = backoff * n1 / max(1, total)
-        back = np.ones(len(words), bool)
-        k = np.flatnonzero(follows)
-        n2 = c2[np.searchsorted(two, pairs[k])]
-        seen = k[n2 >= min_count]
-        s[seen] = n2[n2 >= min_count] / n1[seen - 1]
-        back[seen] = False
-        micro = np.rint(1e6 * np.log(s)).astype(np.int64)
-        sums = np.concatenate([[0], np.cumsum(micro)])
-        backs = np.concatenate([[0], np.cumsum(back)])
-        return pa.table({
-            "doc_id": pa.array(ids, pa.int64()),
-            "n_words": pa.array(np.diff(starts), pa.int64()),
-            "n_backoff": pa.array(np.diff(backs[starts]), pa.int64()),
-            "score_micro": pa.array(np.diff(sums[starts]), pa.int64()),
-        })
-
-    return answers.repartition(n_blocks, "block").groupBy("block").applyInArrow(score, "doc_id long, n_words long, n_backoff long, score_micro long")
+        """All that one block is told."""
+        ids, texts = read_block(f"{uri}/blocks", table.column("block")[0].as_py())
+        starts, place, grams = block_ngrams(texts, order)
+        every = _ending(place, grams)
+        by_hash = np.argsort(every)
+        h, n = _sums(every[by_hash])
+        at, often = _in_ranges(h, ranges), n
+        counts = n.copy()
+        for r, mask, totals in zip(table.column("range").to_pylist(), table.column("mask").to_pylist(), table.column("totals").to_pylist(), strict=True):
+            if r is not None:
+                more = np.unpackbits(np.frombuffer(_unpacked(mask), np.uint8), count=int(at[r + 1] - at[r])).view(bool)
+                counts[at[r] : at[r + 1]][more] = _from_small(totals)
+        spread = np.empty(len(every), np.int64)
+        spread[by_hash] = np.repeat(counts, often)
+        c, begin = [], 0
+        for k in range(order):
+            full = np.zeros(len(place), np.int64)
+            here = place >= k
+            full[here] = spread[begin : begin + np.count_nonzero(here)]
+            begin += np.count_nonzero(here)
+            c.append(full)
+        s, back, longest = c[0] / max(1, total), np.zeros(len(place), np.int64), c[0].copy()
+        for k in range(1, order):
+            here = place >= k
+            seen = np.flatnonzero(here & (c[k] >= min_count))
+            longest[here] = c[k][here]
+            s[here] *= backoff
+            back[here] += 1
+            s[seen] = c[k][seen] / c[k - 1][seen - 1]
+            back[seen] = 0
+        out = {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(np.diff(starts), pa.int64())}
+        for name, values in (("n_backoff", back), ("n_once", longest == 1), ("score_micro", np.rint(1e6 * np.log(s)).astype(np.int64))):
+            sums = np.concatenate([[0], np.cumsum(values)])
+            out[name] = pa.array(np.diff(sums[starts]), pa.int64())
+        return pa.table(out)
+
+    schema = "doc_id long, n_words long, n_backoff long, n_once long, score_micro long"
+    return told.repartition(n_blocks, "block").groupBy("block").applyInArrow(score, schema)
 
 
 ORACLE = """
 WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS word,
                   generate_subscripts(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), 1) AS i FROM documents),
-g AS (SELECT doc_id, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w),
-one AS (SELECT word, count(*) AS n FROM w GROUP BY word),
-two AS (SELECT before, word, count(*) AS n FROM g WHERE before IS NOT NULL GROUP BY before, word),
-total AS (SELECT count(*) AS n FROM w),
-s AS (SELECT g.doc_id, two.n IS NULL OR two.n < 2 AS back,
-             CASE WHEN two.n >= 2 THEN two.n / b.n::DOUBLE ELSE 0.4::DOUBLE * o.n / total.n END AS s
-      FROM g JOIN one o ON o.word = g.word LEFT JOIN one b ON b.word = g.before LEFT JOIN two ON two.before = g.before AND two.word = g.word, total)
-SELECT d.doc_id, count(s.s)::BIGINT AS n_words, coalesce(sum(back::INT), 0)::BIGINT AS n_backoff, coalesce(sum(round(1e6 * ln(s.s))), 0)::BIGINT AS score_micro
+g AS (SELECT doc_id, word AS c, lag(word) OVER d AS b, lag(word, 2) OVER d AS a FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+one AS (SELECT c, count(*) AS n FROM g GROUP BY c),
+two AS (SELECT b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY b, c),
+three AS (SELECT a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b, c),
+total AS (SELECT count(*) AS n FROM g),
+s AS (SELECT g.doc_id, coalesce(three.n, two.n, one.n) AS longest,
+             CASE WHEN g.a IS NOT NULL THEN three.n / before2.n::DOUBLE WHEN g.b IS NOT NULL THEN two.n / before1.n::DOUBLE ELSE one.n / total.n::DOUBLE END AS s
+      FROM g JOIN one ON one.c = g.c LEFT JOIN two ON two.b = g.b AND two.c = g.c LEFT JOIN three ON three.a = g.a AND three.b = g.b AND three.c = g.c
+      LEFT JOIN one before1 ON before1.c = g.b LEFT JOIN two before2 ON before2.b = g.a AND before2.c = g.b, total)
+SELECT d.doc_id, count(s.s)::BIGINT AS n_words, 0::BIGINT AS n_backoff, coalesce(sum((longest = 1)::INT), 0)::BIGINT AS n_once, coalesce(sum(round(1e6 * ln(s.s))), 0)::BIGINT AS score_micro
 FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """

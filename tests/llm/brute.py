@@ -2,6 +2,7 @@
 
 import hashlib
 import heapq
+import math
 import re
 from collections import Counter
 
@@ -139,3 +140,22 @@ def base_spans(text):
 def best_stretch(gains):
     """(sum, start, end) of the run of numbers with the largest sum, the shortest and earliest of equal ones last."""
     return max(((sum(gains[i:j]), i, j) for i in range(len(gains)) for j in range(i + 1, len(gains) + 1)), key=lambda x: x[0])
+
+
+def lm_scores(texts, order, min_count, backoff):
+    """(words, steps back, words whose longest n-gram is alone, score) of each text."""
+    words = [[w.encode() for w in WORD.findall(t)] for t in texts]
+    counts = Counter(tuple(w[i : i + n]) for w in words for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    total = sum(map(len, words))
+    out = []
+    for w in words:
+        steps = once = score = 0
+        for i in range(len(w)):
+            n, factor = min(order, i + 1), 1.0
+            once += counts[tuple(w[i + 1 - n : i + 1])] == 1
+            while n > 1 and counts[tuple(w[i + 1 - n : i + 1])] < min_count:
+                n, factor, steps = n - 1, factor * backoff, steps + 1
+            gram = tuple(w[i + 1 - n : i + 1])
+            score += round(1e6 * math.log(factor * counts[gram] / (counts[gram[:-1]] if n > 1 else total)))
+        out.append((len(w), steps, once, score))
+    return out

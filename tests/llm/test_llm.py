@@ -297,6 +297,16 @@ def test_lm_small_ranges(spark, duck, sf_dir):
     assert got == expected
 
 
+@pytest.mark.parametrize("order, min_count", [(1, 1), (3, 1), (4, 3)])
+def test_lm_on_odd_input(odd, order, min_count):
+    docs, rows = odd
+    got = lm_score.scores(docs, order=order, min_count=min_count, ranges=4).collect()
+    expected = [(i, *x) for (i, _), x in zip(rows, brute.lm_scores([t or "" for _, t in rows], order, min_count, 0.4))]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(expected, key=key), strict=True):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) <= a[1]  # a rounding each
+
+
 def test_quality_ablations(odd):
     found = quality.apply_policy(quality.ledger(odd[0]))
     rows = found.collect()
