@@ -1,7 +1,7 @@
 """Stupid-backoff language-model scores, computed relationally.
 
 The model is a table of n-gram hashes of all orders with their counts over the whole corpus,
-partitioned by hash. Texts are kept in blocks on shared storage. A block explodes its n-grams
+partitioned by hash. The words of texts, as hashes, are kept in blocks on shared storage. A block explodes its n-grams
 and adds equal ones up; a row of the exploded table holds those of one block in one hash range,
 sorted and front-coded, since a row per n-gram would take several times the input. The rows are
 shuffled by range; a range sums them, which is its share of the count table, joins the
@@ -21,6 +21,7 @@ N-grams are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks_of, lean, materialize, read_block, shared_dir, write_block
+from .common import Store, as_bytes, blocks_of, lean, materialize, shared_dir
 
 ORDER, MIN_COUNT, BACKOFF = 3, 1, 0.4
 #: Bytes of text of a block, and of those whose n-grams make one hash range; most tasks over the ranges.
-BLOCK_BYTES, RANGE_BYTES, MOST_TASKS = 8 << 20, 8 << 20, 20_000
+BLOCK_BYTES, RANGE_BYTES, MOST_TASKS = 16 << 20, 8 << 20, 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -46,37 +45,6 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def count_words(text: bytes) -> int:
-    space = _SPACE[np.frombuffer(text, np.uint8)]
-    return int(np.count_nonzero(space[:-1] & ~space[1:])) + int(len(space) > 0 and not space[0])
-
-
-def block_ngrams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(first word's index of each text and the end, place of each word in its text, for n = 1 .. order the hash of the n-gram that ends at each word)."""
-    known: dict[bytes, int] = {}
-    ids: list[int] = []
-    at = [0]
-    for t in texts:
-        ids += [known.setdefault(w, len(known)) for w in t.split()]
-        at.append(len(ids))
-    digest = xxhash.xxh64_intdigest
-    names = np.array([digest(w) for w in known], np.uint64)
-    words = names[np.array(ids, np.int64)] if ids else np.empty(0, np.uint64)
-    starts = np.array(at, np.int64)
-    place = np.arange(len(words)) - np.repeat(starts[:-1], np.diff(starts))
-    grams = [words]
-    for _ in range(1, order):
-        longer = np.zeros_like(words)
-        longer[1:] = _pair(grams[-1][:-1], words[1:])
-        grams.append(longer)
-    return starts, place, grams
-
-
-def _ending(place: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
-    """The hashes of all n-grams that lie within a text, by order."""
-    return np.concatenate([g[place >= n] for n, g in enumerate(grams)])
-
-
 def _sums(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct values, how often each stands there)."""
     first = np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1]])) if len(ascending) else np.empty(0, np.int64)
@@ -116,6 +84,57 @@ def _from_small(blob: bytes) -> np.ndarray:
     return out
 
 
+def write_words(uri: str, name: str, doc_ids: list, texts: list[bytes]) -> int:
+    """One block: its documents' ids and numbers of words, the hashes of its distinct words, and which of them each word is. Gives the number of words."""
+    known: dict[bytes, int] = {}
+    which: list[int] = []
+    sizes = []
+    for t in texts:
+        words = t.split()
+        which += [known.setdefault(w, len(known)) for w in words]
+        sizes.append(len(words))
+    digest = xxhash.xxh64_intdigest
+    names = np.array([digest(w) for w in known], "<u8")
+    ids = np.array([i or 0 for i in doc_ids], "<i8"), np.array([i is None for i in doc_ids], np.uint8), np.array(sizes, "<i8")
+    planes = np.array(which, "<u4").view(np.uint8).reshape(-1, 4).T  # words that come early are frequent: the upper planes compress away
+    parts = [_packed(x.tobytes()) for x in (*ids, names, planes)]
+    stream, commit = Store(uri).open_write(name)
+    stream.write(struct.pack("<5q", *map(len, parts)) + b"".join(parts))
+    commit()
+    return len(which)
+
+
+def read_words(uri: str, name: str) -> tuple[list, np.ndarray, np.ndarray]:
+    """(ids, first word's index of each text and the end, hash of each word)."""
+    blob = memoryview(Store(uri).read(name))
+    ends = 40 + np.cumsum(struct.unpack_from("<5q", blob))
+    ids, none, sizes, names, planes = (_unpacked(blob[i:j]) for i, j in zip([40, *ends[:-1].tolist()], ends.tolist(), strict=True))
+    which = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    words = np.frombuffer(names, "<u8")[which].astype(np.uint64) if len(which) else np.empty(0, np.uint64)
+    doc_ids = [None if n else i for i, n in zip(np.frombuffer(ids, "<i8").tolist(), none, strict=True)]
+    return doc_ids, np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))]).astype(np.int64), words
+
+
+def ngrams(words: np.ndarray, starts: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For n = 1 .. order: n, which words end an n-gram within their text, and the hashes of these n-grams."""
+    place = np.arange(len(words), dtype=np.int32) - np.repeat(starts[:-1], np.diff(starts)).astype(np.int32)
+    grams = words
+    for n in range(1, order + 1):
+        if n > 1:
+            longer = np.zeros_like(words)
+            longer[1:] = _pair(grams[:-1], words[1:])
+            grams = longer
+        here = place >= n - 1
+        yield n, here, grams[here]
+
+
+def counted(words: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending distinct hashes, counts) of all n-grams."""
+    every = np.concatenate([g for _, _, g in ngrams(words, starts, order)])
+    every.sort()
+    return _sums(every)
+
+
 def _in_ranges(values: np.ndarray, n: int) -> np.ndarray:
     """Where the n equal ranges of hashes start in ascending values, and the end."""
     step = (1 << 64) // n
@@ -134,13 +153,11 @@ def scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, back
     uri = shared_dir(spark, "lm")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         for ids, texts in blocks_of(batches, BLOCK_BYTES):
             # a name of its own for each attempt: only the names of finished ones are told
             block = uuid.uuid4().hex
-            write_block(f"{uri}/blocks", block, ids, texts)
-            yield pa.RecordBatch.from_pydict({"block": [block], "size": [sum(map(len, texts))], "n_words": [sum(map(count_words, texts))]})
+            n_words = write_words(f"{uri}/blocks", block, ids, texts)
+            yield pa.RecordBatch.from_pydict({"block": [block], "size": [sum(map(len, texts))], "n_words": [n_words]})
 
     blocks = materialize(as_bytes(docs).mapInArrow(lean(store), "block string, size long, n_words long"), f"{uri}/block-names")
     total, size, n_blocks = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), F.greatest(F.count("*"), F.lit(1))).first()
@@ -149,8 +166,8 @@ def scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, back
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.column("block").to_pylist():
-                _, place, grams = block_ngrams(read_block(f"{uri}/blocks", block)[1], order)
-                h, n = _sums(np.sort(_ending(place, grams)))
+                _, starts, words = read_words(f"{uri}/blocks", block)
+                h, n = counted(words, starts, order)
                 at = _in_ranges(h, ranges)
                 some = np.flatnonzero(np.diff(at))
                 for k in range(0, len(some), 64):
@@ -188,35 +205,30 @@ def scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, back
 
     def score(table: pa.Table) -> pa.Table:
         """All that one block is told."""
-        ids, texts = read_block(f"{uri}/blocks", table.column("block")[0].as_py())
-        starts, place, grams = block_ngrams(texts, order)
-        every = _ending(place, grams)
-        by_hash = np.argsort(every)
-        h, n = _sums(every[by_hash])
-        at, often = _in_ranges(h, ranges), n
-        counts = n.copy()
+        ids, starts, words = read_words(f"{uri}/blocks", table.column("block")[0].as_py())
+        h, counts = counted(words, starts, order)
+        at = _in_ranges(h, ranges)
         for r, mask, totals in zip(table.column("range").to_pylist(), table.column("mask").to_pylist(), table.column("totals").to_pylist(), strict=True):
             if r is not None:
                 more = np.unpackbits(np.frombuffer(_unpacked(mask), np.uint8), count=int(at[r + 1] - at[r])).view(bool)
                 counts[at[r] : at[r + 1]][more] = _from_small(totals)
-        spread = np.empty(len(every), np.int64)
-        spread[by_hash] = np.repeat(counts, often)
-        c, begin = [], 0
-        for k in range(order):
-            full = np.zeros(len(place), np.int64)
-            here = place >= k
-            full[here] = spread[begin : begin + np.count_nonzero(here)]
-            begin += np.count_nonzero(here)
-            c.append(full)
-        s, back, longest = c[0] / max(1, total), np.zeros(len(place), np.int64), c[0].copy()
-        for k in range(1, order):
-            here = place >= k
-            seen = np.flatnonzero(here & (c[k] >= min_count))
-            longest[here] = c[k][here]
-            s[here] *= backoff
-            back[here] += 1
-            s[seen] = c[k][seen] / c[k - 1][seen - 1]
-            back[seen] = 0
+        s, before = np.zeros(len(words)), None
+        back, longest = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for n, here, grams in ngrams(words, starts, order):
+            by_hash = np.argsort(grams)
+            c, own = np.zeros(len(words), np.int64), np.empty(len(grams), np.int64)
+            own[by_hash] = counts[np.searchsorted(h, grams[by_hash])]
+            c[here] = own
+            if n == 1:
+                s = c / max(1, total)
+            else:
+                seen = np.flatnonzero(here & (c >= min_count))
+                s[here] *= backoff
+                back[here] += 1
+                s[seen] = c[seen] / before[seen - 1]
+                back[seen] = 0
+            longest[here] = own
+            before = c
         out = {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(np.diff(starts), pa.int64())}
         for name, values in (("n_backoff", back), ("n_once", longest == 1), ("score_micro", np.rint(1e6 * np.log(s)).astype(np.int64))):
             sums = np.concatenate([[0], np.cumsum(values)])
