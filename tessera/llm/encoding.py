@@ -142,6 +142,8 @@ class Encoder:
         if not filled:
             return [np.empty(0, self.dtype)] * len(texts)
         joined = b"".join(filled)
+        if self.lowers and b"<|" not in joined:  # ASCII letters alone: the library lowers them anyway, and fewer stretches are distinct
+            joined = joined.lower()
         b = np.frombuffer(joined, np.uint8)
         lengths = np.array([len(t) for t in filled])
         starts = np.cumsum(lengths) - lengths
