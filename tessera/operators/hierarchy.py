@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tessera.functions.numeric import norm
 from tessera.operators.checkpoints import stored
 
 AXES = ("x", "y", "z")
+#: Rows of a prefix that one task finishes by itself.
+WHOLE = 50_000
 
 
 def _halved(cut: DataFrame, names: list[str], order: tuple[str, ...]) -> DataFrame:
@@ -27,33 +33,65 @@ def _halved(cut: DataFrame, names: list[str], order: tuple[str, ...]) -> DataFra
     return dealt.join(runs, ["path", "part"]).select(*names, F.concat("path", side).alias("path"))
 
 
+def _halves(at: np.ndarray, rank: np.ndarray, max_features: int, depth: int) -> list[str]:
+    """The digits below a prefix for each of its points (n x 3), rank being their place in the order that settles ties."""
+    out = np.full(len(at), "", object)
+    open_parts = [(np.arange(len(at)), "")]
+    while open_parts:
+        rows, path = open_parts.pop()
+        if len(rows) <= max_features or len(path) == depth:
+            out[rows] = path
+            continue
+        own = at[rows]
+        x, y, z = np.nan_to_num(np.nanmax(own, axis=0) - np.nanmin(own, axis=0))
+        along = own[:, 2 if z > x and z > y else 1 if y > x else 0]
+        by = rows[np.lexsort((rank[rows], np.where(np.isnan(along), -np.inf, along)))]
+        open_parts += [(by[: len(by) // 2], path + "0"), (by[len(by) // 2 :], path + "1")]
+    return out.tolist()
+
+
 def kd_median(features: DataFrame, max_features: int, order: tuple[str, ...] = ("sortkey", "id"), max_depth: int = 64) -> DataFrame:
     """features with the path of their leaf in a binary partition at medians.
 
     The longest axis of a prefix's box is cut (the earlier one on ties); the count div 2 first
-    rows in (axis, order) go to 0, the others to 1. All prefixes over budget are cut in one pass
-    a level. Finished leaves leave the loop.
+    rows in (axis, order) go to 0, the others to 1. Prefixes of more than WHOLE rows are cut a
+    level a pass, all together; smaller ones are finished by one task each.
     """
     names = features.columns
-    rows = stored(features.withColumn("path", F.lit("")), "kd")
+    shape = StructType([*features.schema.fields, StructField("path", StringType())])
+    limit = max(WHOLE, max_features)
+
+    def finish(table: pa.Table) -> pa.Table:
+        at = np.stack([table.column(a).to_numpy().astype(float) for a in AXES], axis=1)
+        rank = np.empty(len(at), np.int64)
+        rank[pc.sort_indices(table, sort_keys=[(c, "ascending") for c in order], null_placement="at_start").to_numpy()] = np.arange(len(at))
+        before = table.column("path")[0].as_py()
+        digits = _halves(at, rank, max_features, max_depth - len(before))
+        return table.set_column(table.schema.get_field_index("path"), "path", pa.array([before + d for d in digits], pa.string()))
+
+    rows = features.withColumn("path", F.lit(""))
     done = []
-    for depth in range(max_depth + 1):
+    for depth in range(max_depth):
         box = [f(a).alias(f"{p}{a}") for a in AXES for f, p in ((F.min, "l"), (F.max, "h"))]
         stats = rows.groupBy("path").agg(F.count("*").alias("n"), *box)
         ex = {a: F.col(f"h{a}") - F.col(f"l{a}") for a in AXES}
         axis = F.when((ex["z"] > ex["x"]) & (ex["z"] > ex["y"]), "z").when(ex["y"] > ex["x"], "y").otherwise("x")
-        stats = stats.select("path", "n", axis.alias("axis"))
-        split = stats.where(F.col("n") > max_features)
-        if depth == max_depth or split.isEmpty():
-            done.append(rows.select(*names, "path"))
+        split = stored(stats.select("path", "n", axis.alias("axis")).where(F.col("n") > limit), "kd")
+        if split.isEmpty():
             break
-        done.append(rows.join(stats.where(F.col("n") <= max_features).select("path"), "path", "left_semi").select(*names, "path"))
+        if depth:
+            done.append(rows.join(split.select("path"), "path", "left_anti").select(*names, "path"))
         cut = rows.join(split, "path").withColumn("along", F.when(F.col("axis") == "x", F.col("x")).when(F.col("axis") == "y", F.col("y")).otherwise(F.col("z")))
         rows = _halved(cut, names, ("along", *order))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    else:
+        return _together(done, rows.select(*names, "path"))
+    return _together([d.groupBy("path").applyInArrow(finish, shape) for d in done], rows.select(*names, "path").groupBy("path").applyInArrow(finish, shape))
+
+
+def _together(parts: list[DataFrame], last: DataFrame) -> DataFrame:
+    for p in parts:
+        last = last.unionByName(p)
+    return last
 
 
 def prefixes(path: str = "path") -> Column:

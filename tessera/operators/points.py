@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tessera.functions.numeric import cell, integer_root, morton, no_negative_zero, norm
@@ -11,8 +16,10 @@ from tessera.operators.checkpoints import stored
 
 AXES = ("x", "y", "z")
 MAX_DEPTH = 31
-#: Cell halvings tried in one pass over a node that holds all its points in one octant.
-SHRINKS = 48
+#: Rows of a node that one task finishes by itself.
+WHOLE = 50_000
+#: Octant digits of a pass at most, and halvings after which no two doubles share a cell that can be halved.
+DIGITS, HALVINGS = 7, 2200
 
 
 def bounds(points: DataFrame, *by: str) -> DataFrame:
@@ -22,25 +29,78 @@ def bounds(points: DataFrame, *by: str) -> DataFrame:
     return points.groupBy(*by).agg(*aggs)
 
 
-def _shrunk(c: Column) -> Column:
-    """A node's cell after halving towards the data while all points lie in one octant. c: struct of c<axis>, d<axis> (cell) and l<axis>, h<axis> (data)."""
+def _branching_cell(low: np.ndarray, high: np.ndarray, cell: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells (n x 3 corners) halved towards the data in low .. high while it lies in one octant; and which ones never branch."""
+    c, d = (x.copy() for x in cell)
+    todo = np.ones(len(c), bool)
+    for _ in range(HALVINGS):
+        mid = c + (d - c) / 2.0
+        above = low >= mid
+        todo &= ((high < mid) | above).all(axis=1)
+        if not todo.any():
+            break
+        c = np.where(todo[:, None] & above, mid, c)
+        d = np.where(todo[:, None] & ~above, mid, d)
+    return c, d, todo
+
+
+def _octants(at: np.ndarray, c: np.ndarray, d: np.ndarray, digits: int) -> np.ndarray:
+    """The octants (x + 2y + 4z above the middle) that points (n x 3) fall into on the way down from their cells, three bits each, the first one uppermost."""
+    key = np.zeros(len(at), np.int64)
+    for _ in range(digits):
+        mid = c + (d - c) / 2.0
+        above = at >= mid
+        key = key << 3 | above @ np.array([1, 2, 4])
+        c, d = np.where(above, mid, c), np.where(above, d, mid)
+    return key
+
+
+def _dealt(rank: np.ndarray, n: int, max_points: int, depth: int) -> list[str]:
+    """Digits of rows without extent, dealt by rank into 8 buckets a level until these fit."""
+    out = [""] * len(rank)
+    open_parts = [(np.arange(len(rank)), rank, n, 0)]
+    while open_parts:
+        rows, seen, n, k = open_parts.pop()
+        if n <= max_points or k == depth or not len(rows):
+            continue
+        bucket = np.minimum(7, np.floor(seen * 8 / n)).astype(np.int64)
+        for b in np.unique(bucket).tolist():
+            here = bucket == b
+            first = -(-b * n // 8)
+            size = (-(-(b + 1) * n // 8) if b < 7 else n) - first
+            for i in rows[here].tolist():
+                out[i] += str(b)
+            open_parts.append((rows[here], seen[here] - first, size, k + 1))
+    return out
+
 
-    def mid(s: Column, a: str) -> Column:
-        return s[f"c{a}"] + (s[f"d{a}"] - s[f"c{a}"]) / F.lit(2.0)
+def _subtree(at: np.ndarray, ordinal: np.ndarray, cell: tuple[np.ndarray, np.ndarray], max_points: int, depth: int) -> np.ndarray:
+    """The digits below a node for each of its points (n x 3)."""
+    out = np.full(len(at), "", object)
+    open_nodes = [(np.arange(len(at)), *cell, "")]
+    while open_nodes:
+        rows, c, d, path = open_nodes.pop()
+        if len(rows) <= max_points or len(path) == depth:
+            out[rows] = path
+            continue
+        own = at[rows]
+        c, d, stuck = _branching_cell(own.min(axis=0)[None], own.max(axis=0)[None], (c[None], d[None]))
+        if stuck[0]:
+            rank = np.empty(len(rows), np.int64)
+            rank[np.argsort(ordinal[rows], kind="stable")] = np.arange(len(rows))
+            out[rows] = [path + x for x in _dealt(rank, len(rows), max_points, depth - len(path))]
+            continue
+        mid = c[0] + (d[0] - c[0]) / 2.0
+        above = own >= mid
+        octant = above @ np.array([1, 2, 4])
+        for o in np.unique(octant).tolist():
+            up = np.array([o & 1, o >> 1 & 1, o >> 2 & 1], bool)
+            open_nodes.append((rows[octant == o], np.where(up, mid, c[0]), np.where(up, d[0], mid), path + str(o)))
+    return out
 
-    def step(s: Column, _: Column) -> Column:
-        above = {a: s[f"l{a}"] >= mid(s, a) for a in AXES}
-        one = F.lit(True)
-        for a in AXES:
-            one = one & ((s[f"h{a}"] < mid(s, a)) | above[a])
-        fields = []
-        for a in AXES:
-            fields.append(F.when(one & above[a], mid(s, a)).otherwise(s[f"c{a}"]).alias(f"c{a}"))
-            fields.append(F.when(one & ~above[a], mid(s, a)).otherwise(s[f"d{a}"]).alias(f"d{a}"))
-            fields += [s[f"{p}{a}"].alias(f"{p}{a}") for p in "lh"]  # in the order of c: fields go by place
-        return F.struct(*fields)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(SHRINKS)), c, step)
+def _xyz(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([batch.column(a).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(a).to_numpy() for a in AXES], axis=1).astype(float)
 
 
 def octree(points: DataFrame, max_points: int, ordinal: str = "ordinal", max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -48,45 +108,108 @@ def octree(points: DataFrame, max_points: int, ordinal: str = "ordinal", max_dep
 
     A node with more than max_points rows splits at the middle of its cell, which is the root's
     box halved on the way down; before that, the cell shrinks while all rows share an octant. Rows
-    of a node without extent are dealt by order into 8 buckets. One pass over all open nodes per level:
-    counts and boxes by partial aggregation, and a join of the open nodes back to their rows.
-    Finished leaves leave the loop.
+    of a node without extent are dealt by order into 8 buckets.
+
+    A node of at most WHOLE rows is finished in one task. For larger ones a pass computes several digits
+    of all rows at once, counts the cells that are met, and reads from the counts of their prefixes
+    which digits branch: an aggregation a pass, not a level. A large node without extent is ranked by
+    range partitions and prefix counts, so that no task holds it.
     """
     names = points.columns
-    root = bounds(points)
-    boxed = points.crossJoin(F.broadcast(root.select(*(F.col(f"{p}{a}").alias(f"{q}{a}") for a in AXES for p, q in (("l", "c"), ("h", "d"))))))
-    open_rows = stored(boxed.withColumn("path", F.lit("")), "octree")
-    done = []
-    for depth in range(max_depth + 1):
-        stats = bounds(open_rows, "path")
-        split = stats.where(F.col("n") > max_points).select("path", "n", *(f"{p}{a}" for a in AXES for p in "lh"))
-        if depth == max_depth or split.isEmpty():
-            done.append(open_rows.select(*names, "path"))
-            break
-        leaves = stats.where(F.col("n") <= max_points).select("path")
-        done.append(open_rows.join(leaves, "path", "left_semi").select(*names, "path"))
-        cell_of = F.struct(*(F.col(f"{p}{a}") for a in AXES for p in "cdlh"))
-        flat = F.lit(True)
-        for a in AXES:
-            flat = flat & (F.col(f"l{a}") == F.col(f"h{a}"))
-        nodes = open_rows.select("path", *(f"{p}{a}" for a in AXES for p in "cd")).join(split, "path").dropDuplicates(["path"])
-        nodes = nodes.withColumn("cell", F.when(flat, F.struct(*(F.col(f"{p}{a}").alias(f"{p}{a}") for a in AXES for p in "cdlh"))).otherwise(_shrunk(cell_of)))
-        nodes = nodes.select("path", "n", flat.alias("flat"), *(F.col(f"cell.{p}{a}").alias(f"{p}{a}") for a in AXES for p in "cd"))
-        rows = open_rows.select(*names, "path").join(nodes, "path")
-        middle = {a: F.col(f"c{a}") + (F.col(f"d{a}") - F.col(f"c{a}")) / F.lit(2.0) for a in AXES}
-        above = {a: F.col(a) >= middle[a] for a in AXES}
-        branch = sum((F.when(above[a], 1 << k).otherwise(0) for k, a in enumerate(AXES)), F.lit(0))
-        if not split.where(flat).isEmpty():
-            seen = F.row_number().over(Window.partitionBy("path").orderBy(ordinal)) - 1
-            rows = rows.withColumn("bucket", F.least(F.lit(7), F.floor(seen * 8 / F.col("n"))).cast("int"))
-            branch = F.when(F.col("flat"), F.col("bucket")).otherwise(branch)
-        child = [F.when(~F.col("flat") & above[a], middle[a]).otherwise(F.col(f"c{a}")).alias(f"c{a}") for a in AXES]
-        child += [F.when(~F.col("flat") & ~above[a], middle[a]).otherwise(F.col(f"d{a}")).alias(f"d{a}") for a in AXES]
-        open_rows = stored(rows.select(*names, F.concat("path", branch.cast("string")).alias("path"), *child), "octree")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    shape = StructType([*points.schema.fields, StructField("path", StringType())])
+    root = bounds(points).first()
+    if not root["n"]:
+        return points.withColumn("path", F.lit(""))
+    top = tuple(np.array([[root[f"{p}{a}"] for a in AXES]]) for p in "lh")
+    limit = max(WHOLE, max_points)
+
+    def finish(table: pa.Table) -> pa.Table:
+        at, before = _xyz(table), table.column("path")[0].as_py()
+        digits = _subtree(at, table.column(ordinal).to_numpy(), (top[0][0], top[1][0]), max_points, max_depth - len(before))
+        return table.set_column(table.schema.get_field_index("path"), "path", pa.array([before + x for x in digits], pa.string()))
+
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each open node: where its cell branches, and whether it never does."""
+        for batch in batches:
+            low, high = (np.stack([batch.column(f"{p}{a}").to_numpy(zero_copy_only=False) for a in AXES], axis=1).astype(float) for p in "lh")
+            c, d, stuck = _branching_cell(low, high, tuple(np.repeat(x, len(low), axis=0) for x in top))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("n"), *(pa.array(x[:, k]) for x in (c, d) for k in range(3)), pa.array(stuck)], names=["path", "n", *(f"{p}{a}" for p in "cd" for a in AXES), "stuck"])
+
+    rows, done = points.withColumn("path", F.lit("")), []
+    large = None if root["n"] <= limit else spark_row(points, root)
+    while large is not None:
+        nodes = stored(large.mapInArrow(cells_of, "path string, n long, " + ", ".join(f"{p}{a} double" for p in "cd" for a in AXES) + ", stuck boolean"), "octree")
+        digits = max(2, min(DIGITS, 1 + int(np.ceil(np.log(nodes.agg(F.max("n")).first()[0] / limit) / np.log(8)))))
+        spread = nodes.where("not stuck").select("path", *(F.col(f"{p}{a}").alias(f"cell {p}{a}") for p in "cd" for a in AXES))
+
+        def key(batches: Iterator[pa.RecordBatch], digits: int = digits) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                c, d = (np.stack([batch.column(f"cell {p}{a}").to_numpy(zero_copy_only=False) for a in AXES], axis=1).astype(float) for p in "cd")
+                found = _octants(_xyz(batch), c, d, digits)
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in (*names, "path")), pa.array(found)], names=[*names, "path", "cell key"])
+
+        keyed = stored(rows.join(spread, "path").select(*names, "path", *spread.columns[1:]).mapInArrow(key, StructType([*shape.fields, StructField("cell key", LongType())])), "octree")
+        cells = stored(keyed.groupBy("path", "cell key").agg(F.count("*").alias("n")).withColumnRenamed("cell key", "k"), "octree")
+        levels = F.explode(F.sequence(F.lit(0), F.lit(digits))).alias("level")
+        prefix = cells.select("path", "k", "n", levels).withColumn("p", F.expr(f"shiftright(k, cast(3 * ({digits} - level) as int))"))
+        sums = prefix.groupBy("path", "level", "p").agg(F.sum("n").alias("n"))
+        children = sums.where("level > 0").groupBy("path", (F.col("level") - 1).alias("level"), F.shiftright("p", 3).alias("p")).agg(F.count("*").alias("m"))
+        branching = sums.join(children, ["path", "level", "p"]).where((F.col("n") > limit) & (F.col("m") > 1)).select("path", "level", "p")
+        digit = F.expr(f"cast(shiftright(k, cast(3 * ({digits} - 1 - level) as int)) & 7L as string)")
+        taken = prefix.where(F.col("level") < digits).join(branching, ["path", "level", "p"]).groupBy("path", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", digit.alias("digit")))), lambda x: x["digit"]), "").alias("digits"))
+        new = cells.join(taken, ["path", "k"], "left").select("path", F.col("k").alias("cell key"), F.concat("path", F.coalesce("digits", F.lit(""))).alias("new"))
+        new = stored(new.withColumn("new", F.substring("new", 1, max_depth)), "octree")
+        moved = keyed.join(new, ["path", "cell key"]).select(*names, F.col("new").alias("path"))
+        sizes = cells.join(new.withColumnRenamed("cell key", "k"), ["path", "k"]).groupBy(F.col("new").alias("path")).agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+        stuck = nodes.where("stuck").select("path", F.col("n").alias("node rows"))
+        if not stuck.isEmpty():
+            done.append(_ranked_buckets(rows.join(stuck, "path"), names, ordinal, max_points, max_depth, shape))
+        sizes = stored(sizes, "octree")
+        rows, large = moved, None
+        if not sizes.isEmpty():
+            rows = stored(moved, "octree")
+            at_end = sizes.where(F.length("path") >= max_depth).select("path")
+            if not at_end.isEmpty():
+                done.append(rows.join(at_end, "path", "left_semi").select(*names, "path"))
+                rows = rows.join(at_end, "path", "left_anti").select(*names, "path")
+            open_nodes = sizes.where(F.length("path") < max_depth).select("path")
+            if not open_nodes.isEmpty():
+                small = rows.join(open_nodes, "path", "left_anti").select(*names, "path")
+                done.append(small.groupBy("path").applyInArrow(finish, shape))
+                rows = rows.join(open_nodes, "path", "left_semi").select(*names, "path")
+                large = bounds(rows, "path")
+    result = rows.groupBy("path").applyInArrow(finish, shape)
+    for part in done:
+        result = result.unionByName(part)
+    return result
+
+
+def spark_row(points: DataFrame, root) -> DataFrame:
+    """The root's statistics as a table of one row."""
+    kinds = "path string, n long, " + ", ".join(f"{p}{a} double" for a in AXES for p in "lh")
+    return points.sparkSession.createDataFrame([("", root["n"], *(float(root[f"{p}{a}"]) for a in AXES for p in "lh"))], kinds)
+
+
+def _ranked_buckets(flat: DataFrame, names: list[str], ordinal: str, max_points: int, max_depth: int, shape: StructType) -> DataFrame:
+    """Rows of large nodes without extent, with the digits that their rank in order gives. Ranks come from range partitions and prefix counts."""
+    dealt = flat.select(*names, "path", "node rows").repartitionByRange("path", ordinal).sortWithinPartitions("path", ordinal)
+    dealt = stored(dealt.withColumn("node part", F.spark_partition_id()).withColumn("node seq", F.monotonically_increasing_id()), "octree")
+    runs = dealt.groupBy("path", "node part").agg(F.min("node seq").alias("first"), F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("path").orderBy("node part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("path", "node part", (F.col("first") - F.coalesce(before, F.lit(0))).alias("node base"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = np.array(batch.column("path").to_pylist(), object)
+            rank, n = batch.column("node rank").to_numpy(zero_copy_only=False), batch.column("node rows").to_numpy(zero_copy_only=False)
+            new = paths.copy()
+            for p in set(paths.tolist()):
+                here = paths == p
+                new[here] = [p + x for x in _dealt(rank[here].astype(np.int64), int(n[here][0]), max_points, max_depth - len(p))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(new.tolist(), pa.string())], names=[*names, "path"])
+
+    ranked = dealt.join(runs, ["path", "node part"]).select(*names, "path", "node rows", (F.col("node seq") - F.col("node base")).alias("node rank"))
+    return ranked.mapInArrow(deal, shape)
 
 
 def voxel_first(points: DataFrame, edge: float, ordinal: str = "ordinal") -> DataFrame:

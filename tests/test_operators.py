@@ -39,16 +39,38 @@ def brute_octree(rows, most):
     return out
 
 
+@pytest.mark.parametrize("whole", [10**6, 100, 20])
 @pytest.mark.parametrize("partitions", [1, 5])
-def test_octree(spark, partitions):
+def test_octree(spark, partitions, whole, monkeypatch):
+    """One task a node, passes of several digits, and both; a tight cluster with a far point needs many halvings."""
+    monkeypatch.setattr(points, "WHOLE", whole)
     rng = random.Random(4)
     rows = [(i, rng.random(), rng.gauss(0, 1), 0.001 * rng.random()) for i in range(300)]
-    rows += [(300 + i, 5.0, 5.0, 5.0) for i in range(60)]
+    rows += [(300 + i, 5.0, 5.0, 5.0) for i in range(160)] + [(500 + i, 1e-20 * rng.random(), 0.0, 1e-22 * rng.random()) for i in range(50)]
     frame = spark.createDataFrame(rows, "ordinal long, x double, y double, z double").repartition(partitions)
     got = {r["ordinal"]: r["path"] for r in points.octree(frame, 20).collect()}
     assert got == brute_octree(rows, 20)
 
 
+def brute_halves(rows, most, path=""):
+    if len(rows) <= most:
+        return {r[:2]: path for r in rows}
+    x, y, z = (max(r[k] for r in rows) - min(r[k] for r in rows) for k in (2, 3, 4))
+    k = 4 if z > x and z > y else 3 if y > x else 2
+    rows = sorted(rows, key=lambda r: (r[k], *r[:2]))
+    return brute_halves(rows[: len(rows) // 2], most, path + "0") | brute_halves(rows[len(rows) // 2 :], most, path + "1")
+
+
+@pytest.mark.parametrize("whole", [10**6, 90])
+def test_kd_median(spark, whole, monkeypatch):
+    monkeypatch.setattr(hierarchy, "WHOLE", whole)
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "ä", "Z", "b"]), i, float(rng.randrange(6)), rng.random(), 2.0) for i in range(500)]
+    frame = spark.createDataFrame(rows, "layer string, id long, x double, y double, z double").repartition(3)
+    got = {(r["layer"], r["id"]): r["path"] for r in hierarchy.kd_median(frame, 30, ("layer", "id")).collect()}
+    assert got == brute_halves(rows, 30)
+
+
 def test_kd_keeps_rows_and_budget(spark):
     rng = random.Random(5)
     rows = [("a", i, rng.random(), rng.random(), 1.0) for i in range(200)]
