@@ -318,14 +318,18 @@ def halvings(longest: Column, edge: Column, budget: int) -> Column:
 def samples(leaves: DataFrame, budget: int, ordinal: str = "ordinal") -> DataFrame:
     """(path, ordinal, x, y, z, edge, error) for every inner node of an octree: the first record per voxel of the finest grid within the budget.
 
-    leaves are octree() rows. A node's grids are two halving chains from its parent's edge; at the
+    leaves are octree() rows. All grids stand at the least corner of the root. A node's are two halving chains
+    from its parent's edge, which its own points, being some of the parent's, always fit; at the
     root they start at the longest extent over (side - 0.5). One level a pass, as a node needs its
     parent's edge: rows meet their node's finest grids once, by a partial aggregation; the coarser
-    grids of a chain nest in these and are counted on their cells, up to the first of one voxel. A chain ends
+    grids of a chain nest in these and are counted on their cells. A chain ends
     where the node's longest extent holds its edge budget times. error is the voxel's diagonal
-    clamped to the node's extent. A grid that never fits gives way to the coarsest one.
+    clamped to the node's extent.
     """
-    side, one = integer_root(budget), (2 * budget).bit_length()
+    side = integer_root(budget)
+    # so many levels above the finest an edge is the longest extent or more, and 8 voxels hold the node
+    levels = F.least(F.col("halvings"), F.lit((2 * budget).bit_length())) if budget >= 8 else F.col("halvings")
+    corner = bounds(leaves).first()
     rows = leaves.select(F.col("path").alias("leaf"), ordinal, *AXES)
     edges, out = None, []
     deepest = leaves.agg(F.max(F.length("path"))).first()[0] or 0
@@ -339,12 +343,13 @@ def samples(leaves: DataFrame, budget: int, ordinal: str = "ordinal") -> DataFra
             up = edges.select(F.col("path").alias("up"), F.col("edge").alias("top"))
             box = box.withColumn("up", F.expr("substring(path, 1, length(path) - 1)")).join(up, "up").drop("up")
         grids = F.explode(F.array(*(F.struct(F.lit(c).alias("chain"), edge.alias("coarse"), halvings(F.col("longest"), edge, budget).alias("halvings")) for c, edge in enumerate((F.col("top"), F.col("top") / F.lit(2.0**0.5)))))).alias("g")
-        keyed = at.join(box.select("path", "top", "longest", *(f"l{a}" for a in AXES)), "path").select("path", ordinal, *AXES, *(f"l{a}" for a in AXES), grids)
+        keyed = at.join(box.select("path", "top", "longest"), "path").select("path", ordinal, *AXES, grids)
         finest = _halved(F.col("g.coarse"), F.col("g.halvings"))
-        keys = [F.floor((F.col(a) - F.col(f"l{a}")) / finest).cast("long").alias(f"k{a}") for a in AXES]
+        # beyond 2**53 steps from the corner doubles don't tell neighbours apart; the key only has to stay a long
+        keys = [F.floor(F.least((F.col(a) - F.lit(corner[f"l{a}"])) / finest, F.lit(9.2e18))).cast("long").alias(f"k{a}") for a in AXES]
         cells = keyed.select("path", "g.chain", "g.coarse", "g.halvings", *keys, ordinal, *AXES).groupBy("path", "chain", *(f"k{a}" for a in AXES))
         cells = stored(cells.agg(F.first("coarse").alias("coarse"), F.first("halvings").alias("halvings"), F.min(F.struct(ordinal, *AXES)).alias("first")), "samples")
-        level = F.explode(F.sequence(F.lit(0), F.least(F.col("halvings"), F.lit(one)))).alias("level")
+        level = F.explode(F.sequence(F.lit(0), levels)).alias("level")
         shift = [F.expr(f"shiftright(k{a}, level)").alias(f"k{a}") for a in AXES]
         counts = cells.select("path", "chain", "coarse", "halvings", *(f"k{a}" for a in AXES), level).select("path", "chain", "coarse", "halvings", "level", *shift).distinct()
         counts = counts.groupBy("path", "chain", "level").agg(F.first("coarse").alias("coarse"), F.first("halvings").alias("halvings"), F.count("*").alias("voxels"))

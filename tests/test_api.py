@@ -14,21 +14,6 @@ from tessera.sinks.archive import write_archive
 from tessera.sinks.glb import decoded_points
 
 
-def plain_sample(rows, top, budget):
-    """rows: (ordinal, x, y, z). The finest of the two chains' grids that fits, and its first records."""
-    low = [min(r[k] for r in rows) for k in (1, 2, 3)]
-    best = None
-    for chain in (1.0, 2.0**0.5):
-        for j in range(11):
-            edge = top / chain / 2**10 * 2 ** (10 - j)
-            cells = {}
-            for r in sorted(rows):
-                cells.setdefault(tuple(math.floor((r[k + 1] - low[k]) / (top / chain / 2**10)) >> (10 - j) for k in range(3)), r)
-            if len(cells) <= budget and (best is None or edge < best[0]):
-                best = (edge, sorted(cells.values()))
-    return best
-
-
 def test_samples(spark):
     rng = random.Random(8)
     rows = [(i, rng.random(), rng.random() * 2, rng.random() / 3) for i in range(900)]
@@ -39,21 +24,21 @@ def test_samples(spark):
         got.setdefault(r["path"], []).append(r)
     inner = {p[:k] for p in path.values() for k in range(len(p))}
     assert set(got) == inner
-    edges = {}
+    edges, low = {}, [min(r[k] for r in rows) for k in (1, 2, 3)]
     for p in sorted(inner, key=len):
         own = [r for r in rows if path[r[0]].startswith(p) and len(path[r[0]]) > len(p)]
         longest = max(max(r[k] for r in own) - min(r[k] for r in own) for k in (1, 2, 3))
-        edge, kept = plain_sample(own, edges[p[:-1]] if p else longest / 2.5, 27)
+        edge, kept = chain_sample(own, edges[p[:-1]] if p else longest / 2.5, 27, low)
+        assert len(kept) <= 27
         edges[p] = edge
         assert sorted(r["ordinal"] for r in got[p]) == [r[0] for r in kept]
         assert got[p][0]["edge"] == pytest.approx(edge)
 
 
 
-def chain_sample(rows, top, budget):
+def chain_sample(rows, top, budget, low):
     """As plain_sample, with chains that end where the longest extent holds the edge budget times."""
-    low = [min(r[k] for r in rows) for k in (1, 2, 3)]
-    longest = max(max(r[k] for r in rows) - low[k - 1] for k in (1, 2, 3))
+    longest = max(max(r[k] for r in rows) - min(r[k] for r in rows) for k in (1, 2, 3))
     best = None
     for edge in (top, top / 2.0**0.5):
         while True:
@@ -80,11 +65,11 @@ def test_samples_of_a_tight_cluster(spark, tight):
         got.setdefault(r["path"], []).append(r)
     inner = {p[:k] for p in path.values() for k in range(len(p))}
     assert set(got) == inner
-    edges, whole = {}, 0
+    edges, whole, low = {}, 0, [min(r[k] for r in rows) for k in (1, 2, 3)]
     for p in sorted(inner, key=len):
         own = [r for r in rows if path[r[0]].startswith(p) and len(path[r[0]]) > len(p)]
         longest = max(max(r[k] for r in own) - min(r[k] for r in own) for k in (1, 2, 3))
-        edges[p], kept = chain_sample(own, edges[p[:-1]] if p else longest / 2.5, 27)
+        edges[p], kept = chain_sample(own, edges[p[:-1]] if p else longest / 2.5, 27, low)
         assert sorted(r["ordinal"] for r in got[p]) == [r[0] for r in kept]
         assert got[p][0]["edge"] == pytest.approx(edges[p])
         whole += longest < tight * 2 and len(kept) > 8
