@@ -21,10 +21,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder (URI) below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is set.
+    Only where that setting is missing and one machine does everything (tests) a temporary folder is set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -177,27 +179,15 @@ def read_block(uri: str, name: str) -> tuple[list, list[bytes]]:
     return table.column("doc_id").to_pylist(), table.column("text").to_pylist()
 
 
-class Packets:
-    """Compressed pieces of one file on shared storage, each found by its place: a shuffle's payload that need not pass through the JVM."""
+def packed(parts: list[bytes]) -> bytes:
+    """Several byte strings as one, compressed."""
+    raw = b"".join([struct.pack(f"<{len(parts)}q", *(len(p) for p in parts)), *parts])
+    return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
-    def __init__(self, uri: str, name: str):
-        self.stream, self.commit = Store(uri).open_write(name)
-        self.at = 0
 
-    def add(self, parts: list[bytes]) -> tuple[int, int]:
-        """(place, size) of the packet."""
-        sizes = struct.pack(f"<{len(parts)}q", *(len(p) for p in parts))
-        raw = b"".join([sizes, *parts])
-        packet = struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
-        self.stream.write(packet)
-        at, self.at = self.at, self.at + len(packet)
-        return at, len(packet)
-
-
-def read_packet(uri: str, name: str, at: int, size: int, n: int) -> list[bytes]:
-    """The n parts of a packet."""
-    packet = Store(uri).read_at(name, at, size)
-    raw = pa.decompress(memoryview(packet)[8:], struct.unpack_from("<q", packet)[0], codec="zstd", asbytes=True)
+def unpacked(blob: bytes, n: int) -> list[bytes]:
+    """The n parts of packed()."""
+    raw = pa.decompress(memoryview(blob)[8:], struct.unpack_from("<q", blob)[0], codec="zstd", asbytes=True)
     out, here = [], 8 * n
     for k in struct.unpack_from(f"<{n}q", raw):
         out.append(raw[here : here + k])

@@ -11,14 +11,14 @@ repeated ones.
 
 The sort. Key of a suffix: the hash (equal ranges of which are the splitters), the text from
 the anchor on, the text before it in reverse. A block sorts its suffixes, merges equal ones into
-one with several places, and sends each range a front-coded run: for each key the length
+one with several places, and sends each range a front-coded run, a row of a shuffle that is never empty: for each key the length
 of the prefix it shares with the one before, and the rest. A range joins its runs with
 loser trees whose nodes keep the prefix length known to be shared with the last winner:
 a comparison starts behind it, and two different lengths decide without looking at the text.
 
 The answer. Keys met more than once are repeated with all their strings. For others the
 common prefixes with their neighbours bound which strings can be repeated; those not settled
-by the neighbours are compared within the keys of one anchor hash, string by string.
+by the neighbours are searched for within the keys of one anchor hash by rolling hashes, and compared.
 An anchor hash with more than HOT occurrences is not sorted: its strings are counted like
 the hashes, by a 128-bit hash, so that no group of keys outgrows a task.
 """
@@ -26,7 +26,7 @@ the hashes, by a 128-bit hash, so that no group of keys outgrows a task.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Packets, as_bytes, blocks_of, drop_dir, materialize, partition_id, read_block, read_packet, shared_dir, write_block
+from .common import as_bytes, blocks_of, drop_dir, lean, materialize, packed, read_block, shared_dir, unpacked, write_block
 
 LENGTH, GRAM = 200, 32
 HOT = 100_000
-RANGE_BYTES = 12 << 20
+RANGE_BYTES, MOST_TASKS = 12 << 20, 20_000
 FAN_IN = 64
 _CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
@@ -234,15 +234,66 @@ def repeated_strings(group: list[Suffix], length: int) -> Iterator[tuple[Suffix,
             open_ones.append((s, low, high))
     if not open_ones:
         return
-    since: dict[int, int] = {}  # suffixes whose last string was repeated, with the first such string in a row
-    for d in range(min(x[1] for x in open_ones), max(x[2] for x in open_ones) + 2):
-        need = [k for k, (_, low, high) in enumerate(open_ones) if low <= d <= high]
-        met = Counter((s.before[:d], s.after[: length - d]) for s in group if length - len(s.after) <= d <= len(s.before)) if need else {}
-        now = {k for k in need if met[open_ones[k][0].before[:d], open_ones[k][0].after[: length - d]] > 1}
-        for k in [k for k in since if k not in now]:
-            yield open_ones[k][0], since.pop(k), d - 1
-        for k in now:
-            since.setdefault(k, d)
+    yield from _settled(group, open_ones, length)
+
+
+def _settled(group: list[Suffix], open_ones: list[tuple[Suffix, int, int]], length: int) -> Iterator[tuple[Suffix, int, int]]:
+    """The repeated strings of the open suffixes, string by string.
+
+    One that starts d bytes before the anchor is d bytes of what stands before and length - d of
+    what comes after. Rolling hashes of all suffixes tell for each d which may be equal; a
+    witness is then compared by its bytes, which settles all d up to where the two differ.
+    """
+    first, last = min(x[1] for x in open_ones), max(x[2] for x in open_ones)
+    g = len(group)
+    n_after, n_before = np.array([len(s.after) for s in group]), np.array([len(s.before) for s in group])
+    after = np.frombuffer(b"".join([s.after[:length].ljust(length, b"\0") for s in group]), np.uint8).reshape(g, length)
+    before = np.frombuffer(b"".join([s.before[: last + 1].ljust(last + 1, b"\0") for s in group]), np.uint8).reshape(g, last + 1)
+    letters, power, _ = _table(length + 1)
+    head, tail = np.zeros(g, np.uint64), np.zeros(g, np.uint64)
+    for i in range(length - first):
+        tail += letters[after[:, i]] * power[i]
+    for i in range(first):
+        head += letters[before[:, i]] * power[i]
+    place = {id(s): i for i, s in enumerate(group)}
+    own = [place[id(s)] for s, _, _ in open_ones]
+    until = [low - 1 for _, low, _ in open_ones]  # settled as repeated up to here, from since on
+    since: list[int | None] = [None] * len(open_ones)
+    for d in range(first, last + 1):
+        asking = [k for k, (_, low, high) in enumerate(open_ones) if low <= d <= high]
+        if any(until[k] < d for k in asking):
+            fits = np.flatnonzero((n_after >= length - d) & (n_before >= d))
+            h = _mixed(_mixed(head[fits]) + tail[fits])
+            order = np.argsort(h)
+            h, who = h[order], fits[order]
+            at = np.empty(g, np.int64)
+            at[who] = np.arange(len(who))
+            for k in asking:
+                if until[k] >= d:
+                    continue
+                i, s = int(at[own[k]]), open_ones[k][0]
+                j = i - 1
+                while True:  # equal hashes stand together; nearly always the first neighbour is the witness
+                    if j < i and (j < 0 or h[j] != h[i]):
+                        j = i + 1
+                    if j > i and (j >= len(who) or h[j] != h[i]):
+                        if since[k] is not None:
+                            yield s, since[k], d - 1
+                            since[k] = None
+                        break
+                    t = group[who[j]]
+                    if common(s.before, t.before) >= d and common(s.after, t.after) >= length - d:
+                        until[k] = min(open_ones[k][2], common(s.before, t.before))
+                        if since[k] is None:
+                            since[k] = d
+                        break
+                    j = j - 1 if j < i else j + 1
+        head += letters[before[:, d]] * power[d]
+        if length - d - 1 >= 0:
+            tail -= letters[after[:, length - d - 1]] * power[length - d - 1]
+    for k, (s, _, high) in enumerate(open_ones):
+        if since[k] is not None:
+            yield s, since[k], min(until[k], high)
 
 
 # --- the distributed steps ----------------------------------------------------------------
@@ -267,9 +318,9 @@ def removals(docs: DataFrame, uri: str, length: int, gram: int, hot: int, ranges
     spark = docs.sparkSession
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = partition_id()
-        for k, (ids, texts) in enumerate(blocks_of(batches)):
-            block = f"{part:06d}-{k:04d}"
+        for ids, texts in blocks_of(batches):
+            # a name of its own for each attempt: only the names of finished ones are told
+            block = uuid.uuid4().hex
             write_block(f"{uri}/blocks", block, ids, texts)
             text, ends = _block_text(texts)
             h, n = np.unique(anchors(np.frombuffer(text, np.uint8), ends, length, gram)[3], return_counts=True)
@@ -278,7 +329,7 @@ def removals(docs: DataFrame, uri: str, length: int, gram: int, hot: int, ranges
                 j = min(len(h), i + (1 << 16))
                 yield pa.RecordBatch.from_pydict({"h": pa.array(h[i:j].view(np.int64)), "block": [block] * (j - i), "n": pa.array(n[i:j])})
 
-    asked = materialize(as_bytes(docs).mapInArrow(store, "h long, block string, n long"), f"{uri}/asked")
+    asked = materialize(as_bytes(docs).mapInArrow(lean(store), "h long, block string, n long"), f"{uri}/asked")
     marks = asked.where("h is null").select("block", "n")
     size, n_blocks = marks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_blocks = max(1, n_blocks)
@@ -316,30 +367,26 @@ def removals(docs: DataFrame, uri: str, length: int, gram: int, hot: int, ranges
             size[tag] = len(after)
         tags = sorted(found)
         of = _range_of(np.array([int.from_bytes(t[:8], "big") for t in tags], np.uint64), ranges) if tags else np.empty(0, np.int64)
-        out: list[tuple[int, int, int]] = []
-        packets = Packets(f"{uri}/runs", block)
+        out: list[tuple[int, bytes]] = []
         for r in np.unique(of).tolist():
             own = tags[int(np.searchsorted(of, r)) : int(np.searchsorted(of, r, "right"))]
             keys = [t[:-2] for t in own]
             shared, rests = front_coded(keys)
-            out.append((r, *packets.add([
+            out.append((r, packed([
                 np.array([len(k) for k in keys], "<u2").tobytes(), np.array([size[t] for t in own], "<u2").tobytes(), shared.astype("<u2").tobytes(), rests,
                 np.array([len(found[t]) for t in own], "<u4").tobytes(), np.array([p for t in own for p in found[t]], "<i8").tobytes(),
             ])))
-        packets.commit()
-        ranges_of, at_of, size_of = np.array(out, np.int64).reshape(-1, 3).T
-        return pa.table({"range": pa.array(ranges_of.astype(np.int32)), "block": pa.array([block] * len(out), pa.string()), "at": pa.array(at_of), "size": pa.array(size_of)})
+        return pa.table({"range": pa.array([r for r, _ in out], pa.int32()), "block": pa.array([block] * len(out), pa.string()), "run": pa.array([x for _, x in out], pa.binary())})
 
     # explicit numbers of partitions, here and below: the rows are small and the work behind them isn't
-    runs = repeated.repartition(n_blocks, "block").groupBy("block").applyInArrow(send, "range int, block string, at long, size long")
-    runs = materialize(runs, f"{uri}/run-places")
+    runs = repeated.repartition(n_blocks, "block").groupBy("block").applyInArrow(send, "range int, block string, run binary")
 
     def merge(table: pa.Table) -> pa.Table:
         names = table.column("block").to_pylist()
         out: dict[int, list[int]] = {}
 
         def run(i: int) -> Iterator[tuple[bytes, int, object]]:
-            sizes, afters, shared, rests, counts, places = read_packet(f"{uri}/runs", names[i], table.column("at")[i].as_py(), table.column("size")[i].as_py(), 6)
+            sizes, afters, shared, rests, counts, places = unpacked(table.column("run")[i].as_py(), 6)
             places = np.frombuffer(places, "<i8")
             n = np.frombuffer(counts, "<u4").astype(np.int64)
             stop = np.cumsum(n)
@@ -370,7 +417,7 @@ def removals(docs: DataFrame, uri: str, length: int, gram: int, hot: int, ranges
         close(group)
         return pa.table({"block": pa.array([names[i] for i in out], pa.string()), "spans": pa.array([np.array(v, "<i8").tobytes() for v in out.values()], pa.binary())})
 
-    spans = runs.repartition(ranges, "range").groupBy("range").applyInArrow(merge, "block string, spans binary")
+    spans = runs.repartition(min(ranges, MOST_TASKS), "range").groupBy("range").applyInArrow(merge, "block string, spans binary")
     if repeated.where(F.col("h").isNotNull() & (F.col("total") > hot)).limit(1).count():
         spans = spans.unionByName(_hot_spans(repeated, wanted, uri, length, hot, n_blocks))
     return spans.unionByName(marks_of(repeated)), n_blocks
@@ -425,7 +472,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
 
     Strings never cross documents; they are judged on the input. A null text is empty. Rows
     that repeat are documents of their own, so that all their strings are repeated. Null ids are
-    kept. An empty table gives no rows. Other columns are ignored. Texts are bytes: with_text
+    kept. An empty table gives no rows. A very long text is a block of its own. Other columns, of whatever
+    names, are ignored. Texts are bytes: with_text
     gives what is left as binary, as a cut may fall inside a character.
     """
     uri = shared_dir(docs.sparkSession, "suffixes")
