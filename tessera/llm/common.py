@@ -134,17 +134,33 @@ def as_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on, and hold what their largest task took."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def lean(run):
-    """A function for mapInArrow that gives freed memory back to the system at the end of each task: workers live on, and hold what their largest task took."""
+    """A function for mapInArrow that releases freed memory at the end of each task."""
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        import ctypes
+        release()
+
+    return inner
+
+
+def lean_group(run):
+    """A function for applyInArrow that releases freed memory after each group."""
 
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if trim:
-            trim(0)
+    def inner(table: pa.Table) -> pa.Table:
+        out = run(table)
+        release()
+        return out
 
     return inner
 

@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, blocks_of, drop_dir, lean, materialize, packed, read_block, shared_dir, unpacked, write_block
+from .common import as_bytes, blocks_of, drop_dir, lean, lean_group, materialize, packed, read_block, shared_dir, unpacked, write_block
 
 LENGTH, GRAM = 200, 32
 HOT = 100_000
-RANGE_BYTES, MOST_TASKS = 12 << 20, 20_000
+BLOCK_BYTES, RANGE_BYTES, MOST_TASKS = 6 << 20, 8 << 20, 20_000
 FAN_IN = 64
 _CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
@@ -318,7 +318,7 @@ def removals(docs: DataFrame, uri: str, length: int, gram: int, hot: int, ranges
     spark = docs.sparkSession
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks_of(batches):
+        for ids, texts in blocks_of(batches, BLOCK_BYTES):
             # a name of its own for each attempt: only the names of finished ones are told
             block = uuid.uuid4().hex
             write_block(f"{uri}/blocks", block, ids, texts)
@@ -379,7 +379,7 @@ def removals(docs: DataFrame, uri: str, length: int, gram: int, hot: int, ranges
         return pa.table({"range": pa.array([r for r, _ in out], pa.int32()), "block": pa.array([block] * len(out), pa.string()), "run": pa.array([x for _, x in out], pa.binary())})
 
     # explicit numbers of partitions, here and below: the rows are small and the work behind them isn't
-    runs = repeated.repartition(n_blocks, "block").groupBy("block").applyInArrow(send, "range int, block string, run binary")
+    runs = repeated.repartition(n_blocks, "block").groupBy("block").applyInArrow(lean_group(send), "range int, block string, run binary")
 
     def merge(table: pa.Table) -> pa.Table:
         names = table.column("block").to_pylist()
@@ -417,7 +417,7 @@ def removals(docs: DataFrame, uri: str, length: int, gram: int, hot: int, ranges
         close(group)
         return pa.table({"block": pa.array([names[i] for i in out], pa.string()), "spans": pa.array([np.array(v, "<i8").tobytes() for v in out.values()], pa.binary())})
 
-    spans = runs.repartition(min(ranges, MOST_TASKS), "range").groupBy("range").applyInArrow(merge, "block string, spans binary")
+    spans = runs.repartition(min(ranges, MOST_TASKS), "range").groupBy("range").applyInArrow(lean_group(merge), "block string, spans binary")
     if repeated.where(F.col("h").isNotNull() & (F.col("total") > hot)).limit(1).count():
         spans = spans.unionByName(_hot_spans(repeated, wanted, uri, length, hot, n_blocks))
     return spans.unionByName(marks_of(repeated)), n_blocks
@@ -506,4 +506,4 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
         return pa.table(columns | ({"kept": pa.array(out["kept"], pa.binary())} if with_text else {}))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return spans.repartition(n_blocks, "block").groupBy("block").applyInArrow(cut, schema)
+    return spans.repartition(n_blocks, "block").groupBy("block").applyInArrow(lean_group(cut), schema)
