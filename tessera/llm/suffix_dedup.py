@@ -11,7 +11,7 @@ repeated ones.
 
 The sort. Key of a suffix: the hash (equal ranges of which are the splitters), the text from
 the anchor on, the text before it in reverse. A block sorts its suffixes, merges equal ones into
-one with several places, and sends each range a front-coded run, a row of a shuffle that is never empty: for each key the length
+one with several places, and sends each range a front-coded run, a packet that is never empty: for each key the length
 of the prefix it shares with the one before, and the rest. A range joins its runs with
 loser trees whose nodes keep the prefix length known to be shared with the last winner:
 a comparison starts behind it, and two different lengths decide without looking at the text.
@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, blocks_of, drop_dir, lean, lean_group, materialize, packed, read_block, shared_dir, unpacked, write_block
+from .common import BLOCK_BYTES, Packets, as_bytes, blocks_of, drop_dir, lean, lean_group, materialize, read_block, read_packet, shared_dir, write_block
 
 LENGTH, GRAM = 200, 32
 HOT = 100_000
-BLOCK_BYTES, RANGE_BYTES, MOST_TASKS = 6 << 20, 8 << 20, 20_000
+RANGE_BYTES, MOST_TASKS = 12 << 20, 20_000
 FAN_IN = 64
 _CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
@@ -247,8 +247,10 @@ def _settled(group: list[Suffix], open_ones: list[tuple[Suffix, int, int]], leng
     first, last = min(x[1] for x in open_ones), max(x[2] for x in open_ones)
     g = len(group)
     n_after, n_before = np.array([len(s.after) for s in group]), np.array([len(s.before) for s in group])
-    after = np.frombuffer(b"".join([s.after[:length].ljust(length, b"\0") for s in group]), np.uint8).reshape(g, length)
-    before = np.frombuffer(b"".join([s.before[: last + 1].ljust(last + 1, b"\0") for s in group]), np.uint8).reshape(g, last + 1)
+    after, before = np.zeros((g, length), np.uint8), np.zeros((g, last + 1), np.uint8)
+    for i, s in enumerate(group):
+        after[i, : n_after[i]] = np.frombuffer(s.after, np.uint8)
+        before[i, : min(n_before[i], last + 1)] = np.frombuffer(s.before, np.uint8)[: last + 1]
     letters, power, _ = _table(length + 1)
     head, tail = np.zeros(g, np.uint64), np.zeros(g, np.uint64)
     for i in range(length - first):
@@ -367,26 +369,30 @@ def removals(docs: DataFrame, uri: str, length: int, gram: int, hot: int, ranges
             size[tag] = len(after)
         tags = sorted(found)
         of = _range_of(np.array([int.from_bytes(t[:8], "big") for t in tags], np.uint64), ranges) if tags else np.empty(0, np.int64)
-        out: list[tuple[int, bytes]] = []
+        out: list[tuple[int, int, int]] = []
+        packets = Packets(f"{uri}/runs", block)
         for r in np.unique(of).tolist():
             own = tags[int(np.searchsorted(of, r)) : int(np.searchsorted(of, r, "right"))]
             keys = [t[:-2] for t in own]
             shared, rests = front_coded(keys)
-            out.append((r, packed([
+            out.append((r, *packets.add([
                 np.array([len(k) for k in keys], "<u2").tobytes(), np.array([size[t] for t in own], "<u2").tobytes(), shared.astype("<u2").tobytes(), rests,
                 np.array([len(found[t]) for t in own], "<u4").tobytes(), np.array([p for t in own for p in found[t]], "<i8").tobytes(),
             ])))
-        return pa.table({"range": pa.array([r for r, _ in out], pa.int32()), "block": pa.array([block] * len(out), pa.string()), "run": pa.array([x for _, x in out], pa.binary())})
+        packets.commit()
+        ranges_of, at_of, size_of = np.array(out, np.int64).reshape(-1, 3).T
+        return pa.table({"range": pa.array(ranges_of.astype(np.int32)), "block": pa.array([block] * len(out), pa.string()), "at": pa.array(at_of), "size": pa.array(size_of)})
 
     # explicit numbers of partitions, here and below: the rows are small and the work behind them isn't
-    runs = repeated.repartition(n_blocks, "block").groupBy("block").applyInArrow(lean_group(send), "range int, block string, run binary")
+    runs = repeated.repartition(n_blocks, "block").groupBy("block").applyInArrow(lean_group(send), "range int, block string, at long, size long")
+    runs = materialize(runs, f"{uri}/run-places")
 
     def merge(table: pa.Table) -> pa.Table:
         names = table.column("block").to_pylist()
         out: dict[int, list[int]] = {}
 
         def run(i: int) -> Iterator[tuple[bytes, int, object]]:
-            sizes, afters, shared, rests, counts, places = unpacked(table.column("run")[i].as_py(), 6)
+            sizes, afters, shared, rests, counts, places = read_packet(f"{uri}/runs", names[i], table.column("at")[i].as_py(), table.column("size")[i].as_py(), 6)
             places = np.frombuffer(places, "<i8")
             n = np.frombuffer(counts, "<u4").astype(np.int64)
             stop = np.cumsum(n)
