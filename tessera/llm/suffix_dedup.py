@@ -258,44 +258,46 @@ def _settled(group: list[Suffix], open_ones: list[tuple[Suffix, int, int]], leng
     for i in range(first):
         head += letters[before[:, i]] * power[i]
     place = {id(s): i for i, s in enumerate(group)}
-    own = [place[id(s)] for s, _, _ in open_ones]
-    until = [low - 1 for _, low, _ in open_ones]  # settled as repeated up to here, from since on
-    since: list[int | None] = [None] * len(open_ones)
+    own = np.array([place[id(s)] for s, _, _ in open_ones])
+    low, high = np.array([x[1] for x in open_ones]), np.array([x[2] for x in open_ones])
+    until, since = low - 1, np.full(len(open_ones), -1)  # settled as repeated up to here, from since on
     for d in range(first, last + 1):
-        asking = [k for k, (_, low, high) in enumerate(open_ones) if low <= d <= high]
-        if any(until[k] < d for k in asking):
+        asking = np.flatnonzero((low <= d) & (d <= high) & (until < d))
+        if len(asking):
             fits = np.flatnonzero((n_after >= length - d) & (n_before >= d))
             h = _mixed(_mixed(head[fits]) + tail[fits])
             order = np.argsort(h)
             h, who = h[order], fits[order]
-            at = np.empty(g, np.int64)
+            at = np.zeros(g, np.int64)
             at[who] = np.arange(len(who))
-            for k in asking:
-                if until[k] >= d:
-                    continue
+            like = h[1:] == h[:-1]
+            met = (np.append(False, like) | np.append(like, False))[at[own[asking]]]
+            alone = asking[~met].tolist()
+            for k in asking[met].tolist():
                 i, s = int(at[own[k]]), open_ones[k][0]
-                j = i - 1
-                while True:  # equal hashes stand together; nearly always the first neighbour is the witness
+                j = i - 1  # equal hashes stand together; nearly always the first neighbour is the witness
+                while True:
                     if j < i and (j < 0 or h[j] != h[i]):
                         j = i + 1
                     if j > i and (j >= len(who) or h[j] != h[i]):
-                        if since[k] is not None:
-                            yield s, since[k], d - 1
-                            since[k] = None
+                        alone.append(k)
                         break
                     t = group[who[j]]
-                    if common(s.before, t.before) >= d and common(s.after, t.after) >= length - d:
-                        until[k] = min(open_ones[k][2], common(s.before, t.before))
-                        if since[k] is None:
-                            since[k] = d
+                    both = common(s.before, t.before)
+                    if both >= d and common(s.after, t.after) >= length - d:
+                        until[k] = min(high[k], both)
+                        since[k] = d if since[k] < 0 else since[k]
                         break
                     j = j - 1 if j < i else j + 1
+            for k in alone:
+                if since[k] >= 0:
+                    yield open_ones[k][0], int(since[k]), d - 1
+                    since[k] = -1
         head += letters[before[:, d]] * power[d]
         if length - d - 1 >= 0:
             tail -= letters[after[:, length - d - 1]] * power[length - d - 1]
-    for k, (s, _, high) in enumerate(open_ones):
-        if since[k] is not None:
-            yield s, since[k], min(until[k], high)
+    for k in np.flatnonzero(since >= 0).tolist():
+        yield open_ones[k][0], int(since[k]), int(until[k])
 
 
 # --- the distributed steps ----------------------------------------------------------------
