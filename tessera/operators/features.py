@@ -69,7 +69,7 @@ def translate_filter(text: str, fields: list[str]) -> str:
         elif token == "==":
             out.append("=")
         else:
-            out.append(token.replace("''", "\\'") if kind == "string" and token != "''" else token)
+            out.append("'" + token[1:-1].replace("\\", "\\\\").replace("''", "\\'") + "'" if kind == "string" else token)
     if depth:
         raise FilterError("unbalanced parentheses")
     return " ".join(out)
