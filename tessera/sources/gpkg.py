@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import sqlite3
 import struct
 from collections.abc import Iterator
@@ -90,6 +91,14 @@ def decode_blob(blob: bytes, srs: int) -> tuple[str | None, list | None]:
 
 
 def _connect(path: str) -> sqlite3.Connection:
+    """Read without locks or recovery; refused while a log or journal holds changes that this would not see."""
+    real = os.path.realpath(path)
+    if os.path.exists(real + "-wal") and os.path.getsize(real + "-wal"):
+        raise ValueError(f"{path} has an active write-ahead log: checkpoint it and close its writer")
+    if os.path.exists(real + "-journal"):
+        with open(real + "-journal", "rb") as journal:
+            if any(journal.read(28)):
+                raise ValueError(f"{path} has an active rollback journal: recover it and close its writer")
     return sqlite3.connect(f"file:{path}?mode=ro&immutable=1", uri=True)
 
 
@@ -146,9 +155,13 @@ class GpkgReader(DataSourceReader):
         with _connect(self.path) as db:
             for name in selected(list(known), self.wanted, self.every):
                 _, column, key, srs = known[name]
-                low, high = db.execute(f"SELECT min({_name(key)}), max({_name(key)}) FROM {_name(name)}").fetchone()
-                if low is not None:
-                    out += [Rows(name, column, key, srs, k, min(k + self.step - 1, high)) for k in range(low, high + 1, self.step)]
+                (high,) = db.execute(f"SELECT max({_name(key)}) FROM {_name(name)}").fetchone()
+                starts = f"SELECT {_name(key)} FROM {_name(name)} WHERE {_name(key)} >= ? ORDER BY 1 LIMIT 1 OFFSET ?"
+                (low,) = db.execute(f"SELECT min({_name(key)}) FROM {_name(name)}").fetchone()
+                while low is not None:
+                    after = db.execute(starts, (low, self.step)).fetchone()
+                    out.append(Rows(name, column, key, srs, low, after[0] - 1 if after else high))
+                    low = after[0] if after else None
         return out or [Rows("", "", "", 0, 0, -1)]
 
     def read(self, part: Rows) -> Iterator[tuple]:

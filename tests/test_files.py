@@ -13,7 +13,7 @@ from tessera.sinks.glb import GlbError, decoded_points, point_tiles, unframe
 from tessera.sinks.text import png, report_lines
 from tessera.sources.archive import ArchiveError, ArchiveSource, catalog
 from tessera.sources.geojson import crs_name, read_geojson, read_geojson_lines
-from tessera.sources.gpkg import GpkgSource
+from tessera.sources.gpkg import GpkgReader, GpkgSource
 from tessera.sources.las import FORMATS, LasError, LasSource, read_header
 
 
@@ -107,6 +107,19 @@ def test_gpkg(spark, tmp_path):
     assert read.option("allLayers", "true").load(str(path)).count() == 7
     with pytest.raises(Exception, match="choose from"):
         spark.read.format("gpkg").load(str(path)).count()
+    with sqlite3.connect(path) as db:
+        db.execute("INSERT INTO roads(fid) VALUES (-9000000000000000000), (9000000000000000000)")
+    db.close()
+    parts = GpkgReader({"path": str(path), "layers": '["roads"]', "partitionRows": "4"}).partitions()
+    assert [p.low for p in parts] == [-9000000000000000000, 9, 9000000000000000000] and all(p.high + 1 == q.low for p, q in zip(parts, parts[1:]))
+    assert read.option("allLayers", "false").load(str(path)).count() == 9
+    for suffix, live in (("-wal", b"x"), ("-journal", b"\0\1")):
+        log = tmp_path / f"a.gpkg{suffix}"
+        log.write_bytes(live)
+        with pytest.raises(Exception, match="active"):
+            GpkgReader({"path": str(path), "allLayers": "true"}).partitions()
+        log.write_bytes(b"\0" * 40 if suffix == "-journal" else b"")
+    assert len(GpkgReader({"path": str(path), "allLayers": "true"}).partitions()) > 0
 
 
 def test_archive(spark, tmp_path):
