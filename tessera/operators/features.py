@@ -2,82 +2,17 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.numeric import no_negative_zero
-
-
-class FilterError(ValueError):
-    """A filter expression that is not one read-only SQL expression over known fields."""
-
-
-_TOKEN = re.compile(r"""\s*(?:(?P<string>'(?:[^']|'')*')|(?P<name>"(?:[^"]|"")*"|[A-Za-z_]\w*)|(?P<number>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|(?P<op><>|<=|>=|==|!=|\|\||[-+*/%<>=(),]))""")
-_WORDS = {"and", "or", "not", "is", "null", "between", "in", "like", "case", "when", "then", "else", "end", "true", "false", "escape", "cast", "as", "integer", "real", "text"}
-#: Functions of the filter language and what they are called here.
-_FUNCTIONS = {"abs": "abs", "coalesce": "coalesce", "hex": "hex", "ifnull": "ifnull", "iif": "if", "instr": "instr", "length": "length", "lower": "lower", "ltrim": "ltrim", "max": "greatest", "min": "least", "nullif": "nullif", "replace": "replace", "round": "round", "rtrim": "rtrim", "sign": "sign", "substr": "substring", "trim": "trim", "typeof": "typeof", "upper": "upper"}
-
-
-def translate_filter(text: str, fields: list[str]) -> str:
-    """A filter in the SQLite expression language as a Spark SQL expression.
-
-    Refused: statements, comments, parameters, subqueries, unbalanced quotes or parentheses, unknown or
-    ambiguous field names, unknown functions. LIKE ignores ASCII case; == is =; names match
-    without case. `/` between two integer fields is not rewritten: cast to real if meant.
-    """
-    known: dict[str, list[str]] = {}
-    for f in fields:
-        known.setdefault(f.lower(), []).append(f)
-    out, at, depth, tokens = [], 0, 0, []
-    stripped = text.strip()
-    if not stripped:
-        raise FilterError("empty filter")
-    while at < len(stripped):
-        m = _TOKEN.match(stripped, at)
-        if not m or stripped.startswith(("--", "/*"), m.end() - len(m[0].lstrip())):
-            raise FilterError(f"not allowed at {at}: {stripped[at : at + 10]!r}")
-        tokens.append((m.lastgroup, m[m.lastgroup]))
-        at = m.end()
-        while at < len(stripped) and stripped[at].isspace():
-            at += 1
-    for k, (kind, token) in enumerate(tokens):
-        low = token.lower()
-        if token in "()":
-            depth += 1 if token == "(" else -1
-            if depth < 0:
-                raise FilterError("unbalanced parentheses")
-            out.append(token)
-        elif kind == "name" and not token.startswith('"') and low in {"select", "exists", "with", "insert", "update", "delete", "attach", "pragma"}:
-            raise FilterError(f"{token} is not allowed")
-        elif kind == "name" and k + 1 < len(tokens) and tokens[k + 1][1] == "(" and low not in _WORDS:
-            if low not in _FUNCTIONS:
-                raise FilterError(f"unknown function {token}")
-            out.append(_FUNCTIONS[low])
-        elif kind == "name" and (token.startswith('"') or low not in _WORDS):
-            name = token[1:-1].replace('""', '"') if token.startswith('"') else token
-            found = known.get(name.lower(), [])
-            if len(found) != 1:
-                raise FilterError(f"{'ambiguous' if found else 'unknown'} field {name}")
-            out.append(f"`{found[0]}`")
-        elif low == "like":
-            out.append("ILIKE")
-        elif low in ("integer", "real", "text"):
-            out.append({"integer": "bigint", "real": "double", "text": "string"}[low])
-        elif token == "==":
-            out.append("=")
-        else:
-            out.append("'" + token[1:-1].replace("\\", "\\\\").replace("''", "\\'") + "'" if kind == "string" else token)
-    if depth:
-        raise FilterError("unbalanced parentheses")
-    return " ".join(out)
+from tessera.operators.filters import translate
 
 
 def where(features: DataFrame, text: str) -> DataFrame:
-    """Rows on which the filter is true; it becomes an ordinary predicate and reaches the scan."""
-    return features.where(F.expr(translate_filter(text, features.columns)))
+    """Rows on which the filter (see filters.py) is true; it becomes an ordinary predicate and reaches the scan."""
+    return features.where(F.expr(translate(text, features.schema)))
 
 
 def keep_fields(features: DataFrame, keep: list[str] | None = None, drop: list[str] | None = None, identity: tuple[str, ...] = ("layer", "id")) -> DataFrame:
@@ -202,6 +137,13 @@ def changes(now: DataFrame, before: DataFrame, by: str = "path") -> DataFrame:
     return now.join(old, by, "left").select(by, state.alias("state"))
 
 
+def restorable(now: DataFrame, before: DataFrame, sizes: DataFrame, budget: DataFrame, by: str = "path") -> DataFrame:
+    """changes() with the size of each subtree, sizes(by, features): one above the budget (one row) is not restored, even if nothing changed."""
+    judged = changes(now, before, by).join(sizes, by).join(F.broadcast(budget.select("budget")))
+    over = (F.col("state") == "restore") & (F.col("features") > F.col("budget"))
+    return judged.withColumn("state", F.when(over, "over_budget").otherwise(F.col("state"))).drop("budget")
+
+
 def sentinel(values: DataFrame, column: str) -> DataFrame:
     """The integer that stands for null: counting up from -2**53, the first that no row has. One row."""
     base = -(1 << 53)

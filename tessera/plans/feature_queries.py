@@ -17,10 +17,17 @@ def flt_where(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.where(table(spark, sf_dir, "events"), "Value BETWEEN 20 AND 80 AND event_type LIKE 'C%' AND NOT (user_id % 3 == 1)").select("event_id", "event_type", "value")
 
 
-@query("flt_where_typing", "SELECT event_id, coalesce(upper(substr(event_type, 1, 2)), 'NONE') AS code FROM events WHERE length(event_type) > 4 AND CAST(value AS BIGINT) >= 0 AND abs(value) > 1.5")
+_TYPED = """SELECT event_id, coalesce(upper(substr(event_type, 1, 2)), 'NONE') AS code FROM events
+ WHERE length(event_type) > 4 AND abs(value) > 1.5 AND event_type IS NOT NULL AND user_id // 2 <> 3 AND event_id % 5 <> 0 AND greatest(user_id, event_id % 5) > 3
+ AND event_type NOT ILIKE '%\\%' AND (event_id // 3 % 4 IN (0, 1, 3) OR value IS NULL)"""
+
+
+@query("flt_where_typing", _TYPED)
 def flt_where_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = op.where(table(spark, sf_dir, "events"), "length(event_type) > 4 AND abs(value) > 1.5")
-    return got.where("cast(value as bigint) >= 0").select("event_id", F.expr("coalesce(upper(substring(event_type, 1, 2)), 'NONE')").alias("code"))
+    """Texts are above numbers, integers divide to integers, max of a null is null, a backslash is a character."""
+    text = r"length(event_type) > 4 AND abs(value) > 1.5 AND event_type > 5 AND user_id / 2 <> 3 AND max(user_id, nullif(event_id % 5, 0)) > 3 AND event_type NOT LIKE '%\%' AND (event_id / 3 % 4 IN (0, 1, 3) OR value ISNULL)"
+    got = op.where(table(spark, sf_dir, "events"), text)
+    return got.select("event_id", F.expr("coalesce(upper(substring(event_type, 1, 2)), 'NONE')").alias("code"))
 
 
 @query("prj_fields", f"WITH {FEATURES} SELECT layer, id, segment FROM feats")
@@ -318,10 +325,19 @@ def jn_layer_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.changes(op.signatures(rows, "config-1"), op.signatures(rows.where("c_custkey < 1000"), "config-1"))
 
 
-@query("id_restore", "SELECT path, 'restore' AS state FROM (SELECT DISTINCT (c_custkey % 32)::VARCHAR AS path FROM customer)")
+_RESTORE = """WITH now AS (SELECT (c_custkey % 32)::VARCHAR AS path, count(*) AS features, sum(CASE WHEN c_custkey % 32 < 4 AND c_custkey % 7 = 0 THEN 1 ELSE 0 END) AS moved, max(c_custkey % 32) AS p FROM customer GROUP BY 1)
+ SELECT path, features, CASE WHEN p >= 28 THEN 'new' WHEN moved > 0 THEN 'rebuild' WHEN features > (SELECT avg(features) FROM now) THEN 'over_budget' ELSE 'restore' END AS state FROM now"""
+
+
+@query("id_restore", _RESTORE)
 def id_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = op.signatures(_prints(spark, sf_dir), "config-1")
-    return op.changes(now, now)
+    """Against an earlier table that lacks four paths and has other nations in four others; the budget is the mean of the features."""
+    c = table(spark, sf_dir, "customer").withColumn("path", (F.col("c_custkey") % 32).cast("string"))
+    moved = (F.col("c_custkey") % 32 < 4) & (F.col("c_custkey") % 7 == 0)
+    old = c.where("c_custkey % 32 < 28").withColumn("c_nationkey", F.when(moved, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")))
+    now, before = (op.signatures(op.fingerprints(t, "c_custkey", "c_mktsegment", "c_nationkey"), "config-1") for t in (c, old))
+    sizes = c.groupBy("path").agg(F.count("*").alias("features"))
+    return op.restorable(now, before, sizes, sizes.agg(F.avg("features").alias("budget"))).select("path", "features", "state")
 
 
 @query("md_property_table", "SELECT min(v) AS no_data FROM (SELECT -9007199254740992::BIGINT + unnest(range((SELECT count(*) + 1 FROM supplier))) AS v) WHERE v NOT IN (SELECT -9007199254740992::BIGINT + s_suppkey FROM supplier)")
