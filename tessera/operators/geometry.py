@@ -67,6 +67,26 @@ def path_box(points: Column) -> Column:
     return F.struct(*(f(at(k)).alias(f"{p}{a}") for k, a in enumerate("xy") for p, f in (("l", F.array_min), ("h", F.array_max))))
 
 
+def box_corners(box: Column) -> Column:
+    """The eight corners of an oriented box: an array of its centre and three half-axis vectors, twelve numbers; bit k of a corner's number tells the side along axis k."""
+    at = lambda k: F.get(box, F.lit(k))
+    corner = lambda n: F.array(*(at(i) + sum((at(3 * k + 3 + i) * (1 if n >> k & 1 else -1) for k in range(3)), F.lit(0.0)) for i in range(3)))
+    return F.array(*(corner(n) for n in range(8)))
+
+
+def box_contains(box: Column, point: Column, slack: float = 0.0) -> Column:
+    """Whether the point is in the oriented box, distances along its axes exceeding their halves by slack at most. A half axis without length counts as the coordinate axis of its number."""
+    at = lambda k: F.get(box, F.lit(k))
+    d = [F.get(point, F.lit(i)) - at(i) for i in range(3)]
+    test = F.lit(True)
+    for k in range(3):
+        half = [at(3 * k + 3 + i) for i in range(3)]
+        length = F.sqrt(sum((h * h for h in half[1:]), half[0] * half[0]))
+        along = sum((u * h for u, h in zip(d[1:], half[1:])), d[0] * half[0])
+        test = test & F.when(length > 0, F.abs(along / F.nullif(length, F.lit(0.0))) <= length + slack).otherwise(F.abs(d[k]) <= slack)
+    return test
+
+
 def _plain(rings) -> list[list[list[float]]]:
     return [[p.tolist() for p in r] for r in rings]
 

@@ -142,3 +142,32 @@ def escaped_vertices(vertices: DataFrame, boxes: DataFrame) -> DataFrame:
         broken = broken | (F.col(f"ul{a}") < F.col(f"l{a}")) | (F.col(f"uh{a}") > F.col(f"h{a}"))
     suspects = pairs.where(broken).select("path", "prefix", *sides)
     return vertices.join(suspects, "path").where(outside).select("vertex", "path", "prefix")
+
+
+#: Fixed values of the error histogram: bins a factor of two, the exponent of the first bin, and their number.
+BINS_PER_OCTAVE, LEAST_EXPONENT, BINS = 32, -256, 16_384
+
+
+def error_statistics(samples: DataFrame, value: str, *by: str) -> DataFrame:
+    """Count, mean, p95, p99 and largest of non-negative distances: samples(*by, value). Null, negative and infinite ones are refused.
+
+    Percentiles are upper edges of logarithmic bins, never above the largest. At most BINS rows a group are
+    exchanged after a partial count, so that a hot group is no larger than any other.
+    """
+    d = F.col(value).cast("double")
+    good = d.isNotNull() & ~F.isnan(d) & (d >= 0) & (d < F.lit(float("inf")))
+    d = F.when(good, d).otherwise(F.raise_error(F.lit("a distance is null, negative or not finite")).cast("double"))
+    step = F.ceil((F.log2("d") - LEAST_EXPONENT) * BINS_PER_OCTAVE)
+    bin_ = F.when(F.col("d") == 0, 0).otherwise(F.least(F.greatest(step, F.lit(1)), F.lit(BINS - 1))).cast("int")
+    counts = samples.select(*by, d.alias("d")).groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("n"), F.sum("d").alias("total"), F.max("d").alias("top"))
+    bins = F.array_sort(F.collect_list(F.struct("bin", "n")))
+    whole = counts.groupBy(*by).agg(F.sum("n").alias("samples"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("top").alias("worst"), bins.alias("bins"))
+
+    def percentile(percent: int) -> Column:
+        rank = F.ceil(F.col("samples") * percent / 100.0)
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("bin"))
+        reached = F.aggregate("bins", start, lambda a, b: F.when(a.n >= rank, a).otherwise(F.struct((a.n + b.n).alias("n"), b.bin.alias("bin")))).bin
+        edge = F.pow(F.lit(2.0), reached / BINS_PER_OCTAVE + LEAST_EXPONENT)
+        return F.when(F.col("samples") == 0, None).when(reached == 0, 0.0).otherwise(F.least(edge, F.col("worst")))
+
+    return whole.select(*by, "samples", "mean", percentile(95).alias("p95"), percentile(99).alias("p99"), "worst")

@@ -81,7 +81,16 @@ def lod_rdp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.simplified(lines, 0.45).select("id", F.size("points").alias("points"), "simplify_error")
 
 
-@query("geo_obb", f"WITH {_HOUSES} SELECT id, w AS hx, h + w AS hy, 0.0::DOUBLE AS lx, 0.0::DOUBLE AS ly FROM g")
+_BOXES = "g AS (SELECT p_partkey AS id, (p_partkey % 50)::DOUBLE AS x, p_size::DOUBLE AS a, (1 + p_partkey % 7)::DOUBLE AS b, (p_partkey % 2)::DOUBLE AS c, (p_partkey % 11 - 5)::DOUBLE AS u, (p_partkey % 13 - 6)::DOUBLE AS v FROM part)"
+
+
+@query("geo_obb", f"WITH {_BOXES} SELECT id, x + 0.75::DOUBLE * a + b AS hx, x - 0.75::DOUBLE * a - b AS lx, a + 0.75::DOUBLE * b AS hy, -a - 0.75::DOUBLE * b AS ly, abs(0.75::DOUBLE * u + v) / 1.25::DOUBLE <= 1.25::DOUBLE * a + 0.0625 AND abs(0.75::DOUBLE * v - u) / 1.25::DOUBLE <= 1.25::DOUBLE * b + 0.0625 AND c <= 1 AS inside FROM g")
 def geo_obb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outer = F.get(F.get("parts", F.lit(0)), F.lit(0))
-    return houses(spark, sf_dir).select("id", op.path_box(outer).alias("b")).select("id", "b.lx", "b.hx", "b.ly", "b.hy")
+    """Boxes turned about the vertical (half axes along (3, 4) and (-4, 3)), some without height: extents of their corners, and whether a point beside the centre is inside."""
+    key = F.col("p_partkey")
+    a, b, c = F.col("p_size").cast("double"), (key % 7 + 1).cast("double"), (key % 2).cast("double")
+    x, zero = (key % 50).cast("double"), F.lit(0.0)
+    box = F.array(x, zero, zero, a * 0.75, a, zero, -b, b * 0.75, zero, zero, zero, c)
+    point = F.array(x + (key % 11 - 5), (key % 13 - 6).cast("double"), c)
+    boxes = table(spark, sf_dir, "part").select(key.alias("id"), op.path_box(op.box_corners(box)).alias("e"), op.box_contains(box, point, 0.0625).alias("inside"))
+    return boxes.select("id", "e.lx", "e.hx", "e.ly", "e.hy", "inside")

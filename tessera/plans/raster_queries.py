@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geodesy
+from tessera.operators import lod
 from tessera.operators import raster as op
 from tessera.plans.registry import query
 from tessera.plans.tables import RASTER, raster, table
@@ -44,9 +45,18 @@ def agg_height_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster(spark, sf_dir).where("valid").agg(F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-@query("agg_error_stats", f"WITH {RASTER} SELECT round(avg(value), 6) AS mean, max(value) AS worst, count(*) AS n FROM cells WHERE valid")
+_ERRORS = """d AS (SELECT l_returnflag AS flag, l_extendedprice * l_discount AS d FROM lineitem),
+ b AS (SELECT flag, d, CASE WHEN d = 0 THEN 0 ELSE least(greatest(ceil((log2(d) + 256) * 32), 1), 16383) END::INT AS bin FROM d),
+ c AS (SELECT flag, bin, count(*) AS n FROM b GROUP BY flag, bin),
+ r AS (SELECT flag, bin, sum(n) OVER (PARTITION BY flag ORDER BY bin) AS upto FROM c),
+ s AS (SELECT flag, count(*) AS samples, avg(d) AS mean, max(d) AS worst FROM d GROUP BY flag),
+ q AS (SELECT flag, samples, mean, worst, (SELECT min(bin) FROM r WHERE r.flag = s.flag AND upto >= ceil(samples * 95 / 100.0)) AS a, (SELECT min(bin) FROM r WHERE r.flag = s.flag AND upto >= ceil(samples * 99 / 100.0)) AS z FROM s)"""
+
+
+@query("agg_error_stats", f"WITH {_ERRORS} SELECT flag, samples, round(mean, 4) AS mean, round(CASE WHEN a = 0 THEN 0 ELSE least(2.0 ** (a / 32.0 - 256), worst) END, 4) AS p95, round(CASE WHEN z = 0 THEN 0 ELSE least(2.0 ** (z / 32.0 - 256), worst) END, 4) AS p99, worst FROM q")
 def agg_error_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster(spark, sf_dir).where("valid").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("worst"), F.count("*").alias("n"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice") * F.col("l_discount")).alias("d"))
+    return lod.error_statistics(li, "d", "flag").select("flag", "samples", *(F.round(c, 4).alias(c) for c in ("mean", "p95", "p99")), "worst")
 
 
 _NODES = RASTER + ", nodes AS (SELECT row + a AS i, col + b AS j, min(valid) AS valid, count(*) AS pixels FROM cells, range(2) t(a), range(2) u(b) GROUP BY row + a, col + b)"
