@@ -10,6 +10,8 @@ from tessera.functions.numeric import morton
 from tessera.operators import hierarchy as op
 from tessera.plans.registry import query
 from tessera.plans.tables import FEATURES, features, table
+from tessera.sinks.subtree import availability, subtrees
+from tessera.sources.subtree import listed_tiles
 
 _KD = f"""WITH RECURSIVE {FEATURES}, t AS (SELECT *, '' AS path, count(*) OVER () <= 64 AS leaf FROM feats UNION ALL
  SELECT layer, id, x, y, z, segment, path || side, count(*) OVER (PARTITION BY path || side) <= 64 FROM (
@@ -165,10 +167,32 @@ def hier_derived_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("level", "x", (F.col("x") * width).alias("low"), ((F.col("x") + 1) * width).alias("high"))
 
 
-@query("agg_availability", f"WITH {_TILES} SELECT length(path)::INT AS level, count(*) AS available, count(*) = 4 ** length(path) AS full FROM tiles GROUP BY length(path)")
+_CELLS = """leaves AS (SELECT (p_partkey * 37 + p_size * 11) % 4096 AS place, p_size % 2 = 1 AS content FROM part UNION ALL SELECT x, false FROM range(64) t(x)),
+ cells AS (SELECT 6 - k AS level, place >> (2 * k) AS place, bool_or(content AND k = 0 OR k = 3) AS content FROM leaves, range(7) t(k) GROUP BY 1, 2)"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tiles over leaves that the parts choose at level 6 of a quadtree, the first 64 always; level 3 and some leaves have content."""
+    p = table(spark, sf_dir, "part").select(((F.col("p_partkey") * 37 + F.col("p_size") * 11) % 4096).alias("place"), (F.col("p_size") % 2 == 1).alias("content"))
+    leaves = p.unionByName(spark.range(64).select(F.col("id").alias("place"), F.lit(False).alias("content")))
+    up = leaves.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    return up.select((F.lit(6) - F.col("k")).alias("level"), F.expr("shiftright(place, 2 * k)").alias("place"), ((F.col("content") & (F.col("k") == 0)) | (F.col("k") == 3)).alias("content"))
+
+
+_STREAMS = """marks AS (SELECT level - level % 3 AS root_level, place >> (2 * (level % 3)) AS root_place, 'tile' AS stream, 21 AS total, level, place FROM cells
+ UNION ALL SELECT level - level % 3, place >> (2 * (level % 3)), 'content', 21, level, place FROM cells WHERE content
+ UNION ALL SELECT level - 3, place >> 6, 'child', 64, level, place FROM cells WHERE level % 3 = 0 AND level > 0)"""
+
+
+@query("agg_availability", f"WITH {_CELLS}, {_STREAMS} SELECT r.root_level::INT AS root_level, r.root_place, v.stream, count(m.level) AS available, CASE WHEN count(m.level) = 0 THEN 0 WHEN count(m.level) = max(v.total) THEN 1 END::INT AS constant FROM (SELECT DISTINCT root_level, root_place FROM marks) r CROSS JOIN (VALUES ('tile', 21), ('content', 21), ('child', 64)) v(stream, total) LEFT JOIN marks m ON m.root_level = r.root_level AND m.root_place = r.root_place AND m.stream = v.stream GROUP BY ALL")
 def agg_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _tiles(spark, sf_dir).groupBy(F.length("path").alias("level")).agg(F.count("*").alias("available"))
-    return got.withColumn("full", F.col("available") == F.pow(F.lit(4.0), F.col("level")))
+    return availability(_cells(spark, sf_dir), 2, 3).drop("words")
+
+
+@query("src_subtree", f"WITH {_CELLS} SELECT level::INT AS level, place, content FROM cells")
+def src_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles written as binary subtrees of three levels and listed from them again."""
+    return listed_tiles(subtrees(_cells(spark, sf_dir), 2, 3), 2, 3)
 
 
 @query("src_list_tiles", f"WITH {_TILES} SELECT path, length(path)::INT AS depth, NOT EXISTS (SELECT 1 FROM tiles c WHERE c.parent = tiles.path) AS leaf, error FROM tiles")
