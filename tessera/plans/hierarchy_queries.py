@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,16 +52,32 @@ def agg_prefix_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("n", F.col("n").cast("long"))
 
 
+def _first(level: int) -> int:
+    """Key of the first tile of a level."""
+    return ((1 << 2 * level) - 1) // 3
+
+
+def _base4(n: Column) -> Column:
+    return F.conv(n.cast("string"), 10, 4)
+
+
+def _once(value: Column) -> Column:
+    """A column that is computed once a row, whatever reads it."""
+    return F.explode(F.array(value))
+
+
 def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tile tree of all parts: keys fill the levels of a tree of four children a tile in order, so that it deepens as the table grows. Errors mostly fall."""
+    """A tile tree of all parts: keys fill the levels of a tree of four children a tile in order, so that it deepens as the table grows. Errors mostly fall.
+
+    Paths are generated, not projected: the optimizer would copy their expression into every filter that is pushed below them.
+    """
     k = F.col("p_partkey")
-    first = lambda level: F.expr(f"(shiftleft(1L, cast(2 * {level} as int)) - 1) div 3")
-    level = F.size(F.filter(F.sequence(F.lit(1), F.lit(30)), lambda n: k >= F.floor((F.pow(F.lit(4.0), n) - 1) / 3)))
-    p = table(spark, sf_dir, "part").withColumn("level", level)
-    digits = F.expr("aggregate(transform(sequence(1, greatest(level, 1)), i -> if(level = 0, '', cast(shiftright(at, 2 * (level - i)) & 3L as string))), '', (a, x) -> concat(a, x))")
-    tiles = p.withColumn("at", k - first("level")).select(digits.alias("path"), F.col("p_retailprice").cast("double").alias("error"), F.col("p_size").cast("long").alias("size"))
+    level = F.when(k >= F.lit(_first(30)), 30).when(k > 0, F.length(_base4(k * 3 + 1)) - 1).otherwise(0)
+    p = table(spark, sf_dir, "part").select(k, F.col("p_retailprice").cast("double").alias("error"), F.col("p_size").cast("long").alias("size"), _once(level).alias("level"))
+    at = _base4(k - F.expr("(shiftleft(1L, 2 * level) - 1) div 3"))
+    digits = F.when(F.col("level") > 0, F.right(F.lpad(at, F.col("level"), F.lit("0")), F.col("level"))).otherwise("")
     parent = F.when(F.length("path") > 0, F.expr("substring(path, 1, length(path) - 1)"))
-    return tiles.withColumn("parent", parent)
+    return p.select("error", "size", _once(digits).alias("path")).select("path", "error", "size", _once(parent).alias("parent"))
 
 
 _TILES = """levels AS (SELECT *, len(list_filter(range(1, 31), lambda n: p_partkey >= ((1::BIGINT << (2 * n)::INT) - 1) // 3)) AS level FROM part),
@@ -88,7 +104,8 @@ def val_error_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("jn_parent_child", f"WITH {_TILES} SELECT c.path, p.error AS parent_error FROM tiles c JOIN tiles p ON p.path = c.parent")
 def jn_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tiles(spark, sf_dir)
-    return t.join(t.select(F.col("path").alias("parent"), F.col("error").alias("parent_error")), "parent").select("path", "parent_error")
+    up = t.select(F.col("path").alias("parent"), F.col("error").alias("parent_error"))
+    return t.join(up.hint("merge"), "parent").select("path", "parent_error")
 
 
 @query("val_budgets", f"WITH {_TILES} SELECT path, size, size <= 40 AS within FROM tiles")

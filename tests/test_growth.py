@@ -33,3 +33,22 @@ def check(spark, made, name, **tables):
 @pytest.mark.parametrize("rows", [5, 3001, 60_001])
 def test_degenerate_split_is_one_level(spark, made, rows):
     check(spark, made, "par_octree_degenerate", embeddings=f"SELECT 7 * range AS vec_id, [1.0::FLOAT, 2.0, 3.0] AS embedding, 0 AS label FROM range({rows})")
+
+
+#: Parts, also without key, below the root, far apart and at the edges of deep levels.
+PARTS = "SELECT k AS p_partkey, (1 + k % 50)::INT AS p_size, 900.0::DOUBLE + (k % 1000 * 7919) % 1000 AS p_retailprice FROM (SELECT range AS k FROM range(1500) UNION ALL SELECT ((1::BIGINT << (2 * n)::INT) - 1) // 3 - d FROM range(7, 31) a(n), range(3) b(d))"
+
+
+def tile_plan(spark, made, name):
+    """A tile query matches its SQL, reads the key a few times a scan only, and broadcasts no tiles."""
+    folder, con = made(part=PARTS)
+    got, expected = compare(QUERIES[name](spark, folder), con, SQL[name])
+    assert got == expected
+    run = QUERIES[name](spark, folder)._jdf.queryExecution()
+    plan = run.optimizedPlan().toString()
+    assert plan.count("p_partkey#") <= 12 * plan.count("Relation ")
+    assert "BroadcastHashJoin" not in run.executedPlan().toString()
+
+
+def test_jn_parent_child_grows_with_its_input(spark, made):
+    tile_plan(spark, made, "jn_parent_child")
