@@ -52,3 +52,7 @@ def tile_plan(spark, made, name):
 
 def test_jn_parent_child_grows_with_its_input(spark, made):
     tile_plan(spark, made, "jn_parent_child")
+
+
+def test_lod_skip_level_grows_with_its_input(spark, made):
+    tile_plan(spark, made, "lod_skip_level")
