@@ -127,7 +127,7 @@ def agg_level_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tiles(spark, sf_dir)
     inner = t.where("parent is not null").select(F.col("parent").alias("path"), F.lit(1).alias("inner")).distinct()
-    t = t.join(inner, "path", "left")
+    t = t.join(inner.hint("merge"), "path", "left")
     return t.agg(F.count("*").alias("tiles"), F.sum(F.col("inner").isNull().cast("long")).alias("leaves"), F.max("size").alias("largest"), F.max("error").alias("worst"))
 
 

@@ -56,3 +56,7 @@ def test_jn_parent_child_grows_with_its_input(spark, made):
 
 def test_lod_skip_level_grows_with_its_input(spark, made):
     tile_plan(spark, made, "lod_skip_level")
+
+
+def test_agg_counters_grows_with_its_input(spark, made):
+    tile_plan(spark, made, "agg_counters")
