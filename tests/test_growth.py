@@ -60,3 +60,7 @@ def test_lod_skip_level_grows_with_its_input(spark, made):
 
 def test_agg_counters_grows_with_its_input(spark, made):
     tile_plan(spark, made, "agg_counters")
+
+
+def test_agg_leaf_fragments_grows_with_its_input(spark, made):
+    tile_plan(spark, made, "agg_leaf_fragments")
