@@ -64,3 +64,7 @@ def test_agg_counters_grows_with_its_input(spark, made):
 
 def test_agg_leaf_fragments_grows_with_its_input(spark, made):
     tile_plan(spark, made, "agg_leaf_fragments")
+
+
+def test_agg_top_error_grows_with_its_input(spark, made):
+    tile_plan(spark, made, "agg_top_error")
