@@ -112,9 +112,14 @@ def leaf_then_prefix(rows: DataFrame) -> DataFrame:
     return prefix_stats(leaves, F.sum("n").alias("n"), *again)
 
 
+def _of_tiles(tiles: DataFrame, *aggs: Column) -> DataFrame:
+    """Aggregates of those prefixes that are tiles themselves, which are told by their own row instead of a join."""
+    return prefix_stats(tiles, *aggs, F.max(F.length("prefix") == F.length("path")).alias("own")).where("own").drop("own")
+
+
 def max_error(tiles: DataFrame) -> DataFrame:
     """Each tile's error raised to the largest below it: tiles(path, error) -> (path, error)."""
-    return prefix_stats(tiles, F.max("error").alias("error")).withColumnRenamed("prefix", "path").join(tiles.select("path"), "path", "left_semi")
+    return _of_tiles(tiles, F.max("error").alias("error")).select(F.col("prefix").alias("path"), "error")
 
 
 def heights(tiles: DataFrame) -> DataFrame:

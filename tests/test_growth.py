@@ -68,3 +68,7 @@ def test_agg_leaf_fragments_grows_with_its_input(spark, made):
 
 def test_agg_top_error_grows_with_its_input(spark, made):
     tile_plan(spark, made, "agg_top_error")
+
+
+def test_agg_max_error_grows_with_its_input(spark, made):
+    tile_plan(spark, made, "agg_max_error")
