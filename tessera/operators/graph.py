@@ -47,16 +47,23 @@ def co_render_groups(holders: DataFrame) -> DataFrame:
 
     A vertex's holders that are related to all others are a chain from the top; below it there are
     two branches at least, so that all the rest hangs together. These link to their least one: a
-    vertex costs a link per holder, not all pairs. Relatives are counted over prefixes of paths.
+    vertex costs a link per holder, not all pairs. Which tiles are relatives is asked of the tiles
+    once, not of every vertex's holders; where none are, the least and greatest holder tell all.
     """
-    h = holders.select("vertex", "path").distinct()
-    total = h.groupBy("vertex").agg(F.count("*").alias("n"))
-    lines = h.select("vertex", "path", F.explode(prefixes()).alias("prefix"))
-    below = lines.groupBy("vertex", "prefix").agg(F.count("*").alias("below"))
-    above = lines.join(h.select("vertex", F.col("path").alias("prefix")), ["vertex", "prefix"]).groupBy("vertex", "path").agg(F.count("*").alias("above"))
-    counted = above.join(below.withColumnRenamed("prefix", "path"), ["vertex", "path"]).join(total, "vertex")
-    mixed = counted.where(F.col("above") + F.col("below") - 1 < F.col("n")).select("vertex", "path")
-    least = mixed.groupBy("vertex").agg(F.min("path").alias("b"))
-    links = mixed.join(least, "vertex").select(F.col("path").alias("a"), "b")
-    alone = h.select(F.col("path").alias("a"), F.col("path").alias("b"))
-    return components(links.union(alone)).select(F.col("node").alias("path"), F.col("component").alias("grp"))
+    rows = holders.select("vertex", "path").where("vertex is not null and path is not null")
+    tiles = stored(holders.select("path").where("path is not null").distinct(), "groups")
+    lines = tiles.select("path", F.explode(prefixes()).alias("prefix")).where("prefix <> path")
+    pairs = stored(lines.join(tiles.withColumnRenamed("path", "prefix"), "prefix", "left_semi").select("path", "prefix"), "groups")
+    if pairs.isEmpty():
+        mixed = rows
+        least = rows.groupBy("vertex").agg(F.min("path").alias("b"), F.max("path").alias("last")).where("b <> last").drop("last")
+    else:
+        h = rows.distinct()
+        kin = h.join(pairs, "path").join(h.withColumnRenamed("path", "prefix"), ["vertex", "prefix"])
+        related = kin.select("vertex", "path").union(kin.select("vertex", "prefix")).groupBy("vertex", "path").agg(F.count("*").alias("kin"))
+        total = h.groupBy("vertex").agg(F.count("*").alias("n"))
+        mixed = h.join(total, "vertex").join(related, ["vertex", "path"], "left").where(F.coalesce("kin", F.lit(0)) + 1 < F.col("n")).select("vertex", "path")
+        least = mixed.groupBy("vertex").agg(F.min("path").alias("b"))
+    links = mixed.join(least, "vertex").select(F.col("path").alias("a"), "b").distinct()
+    alone = tiles.select(F.col("path").alias("a"), F.col("path").alias("b"))
+    return components(stored(links.union(alone), "groups")).select(F.col("node").alias("path"), F.col("component").alias("grp"))
