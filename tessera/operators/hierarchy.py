@@ -147,7 +147,7 @@ def roles(tiles: DataFrame, levels: int = 4) -> DataFrame:
 def error_violations(tiles: DataFrame) -> DataFrame:
     """Children whose error exceeds their parent's: tiles(path, parent, error)."""
     up = tiles.select(F.col("path").alias("parent"), F.col("error").alias("parent_error"))
-    return tiles.where("parent is not null").join(up, "parent").where("error > parent_error").select("path", "parent", "error", "parent_error")
+    return tiles.where("parent is not null").join(up.hint("merge"), "parent").where("error > parent_error").select("path", "parent", "error", "parent_error")
 
 
 def bounds_violations(tiles: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def bounds_violations(tiles: DataFrame) -> DataFrame:
     out = F.lit(False)
     for a in AXES:
         out = out | (F.col(f"l{a}") < F.col(f"pl{a}")) | (F.col(f"h{a}") > F.col(f"ph{a}"))
-    return tiles.where("parent is not null").join(up, "parent").where(out).select("path", "parent")
+    return tiles.where("parent is not null").join(up.hint("merge"), "parent").where(out).select("path", "parent")
 
 
 def diagonal(p: str = "") -> Column:

@@ -72,3 +72,7 @@ def test_agg_top_error_grows_with_its_input(spark, made):
 
 def test_agg_max_error_grows_with_its_input(spark, made):
     tile_plan(spark, made, "agg_max_error")
+
+
+def test_val_error_order_grows_with_its_input(spark, made):
+    tile_plan(spark, made, "val_error_order")
