@@ -216,7 +216,7 @@ def src_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_list_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tiles(spark, sf_dir)
     inner = t.select(F.col("parent").alias("path")).where("path is not null").distinct().withColumn("inner", F.lit(True))
-    return t.join(inner, "path", "left").select("path", F.length("path").alias("depth"), F.col("inner").isNull().alias("leaf"), "error")
+    return t.join(inner.hint("merge"), "path", "left").select("path", F.length("path").alias("depth"), F.col("inner").isNull().alias("leaf"), "error")
 
 
 @query("src_tileset", "WITH RECURSIVE t AS (SELECT r_regionkey AS id, r_name AS name, 0 AS depth FROM region UNION ALL SELECT n_nationkey, n_name, t.depth + 1 FROM t JOIN nation ON n_regionkey = t.id WHERE t.depth = 0) SELECT id, name, depth::INT AS depth FROM t")

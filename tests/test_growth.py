@@ -76,3 +76,7 @@ def test_agg_max_error_grows_with_its_input(spark, made):
 
 def test_val_error_order_grows_with_its_input(spark, made):
     tile_plan(spark, made, "val_error_order")
+
+
+def test_src_list_tiles_grows_with_its_input(spark, made):
+    tile_plan(spark, made, "src_list_tiles")
