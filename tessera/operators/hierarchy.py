@@ -125,14 +125,14 @@ def max_error(tiles: DataFrame) -> DataFrame:
 def heights(tiles: DataFrame) -> DataFrame:
     """Height of each tile: 0 for a leaf, else one more than its highest child's; tiles(path)."""
     depth = tiles.select("path", F.length("path").alias("deepest"))
-    return prefix_stats(depth, F.max("deepest").alias("deepest")).select(F.col("prefix").alias("path"), (F.col("deepest") - F.length("prefix")).alias("height")).join(tiles.select("path"), "path", "left_semi")
+    return _of_tiles(depth, F.max("deepest").alias("deepest")).select(F.col("prefix").alias("path"), (F.col("deepest") - F.length("prefix")).alias("height"))
 
 
 def roles(tiles: DataFrame, levels: int = 4) -> DataFrame:
     """Delivery role by height: parents of `levels` levels or more are skeleton, what hangs below them is explicit leaf or implicit root, the rest implicit."""
     high = heights(tiles)
     parent = high.select(F.col("path").alias("up"), (F.col("height") >= levels).alias("up_skeleton"))
-    joined = high.withColumn("up", F.expr("substring(path, 1, length(path) - 1)")).join(parent, "up", "left")
+    joined = high.withColumn("up", F.expr("substring(path, 1, length(path) - 1)")).join(parent.hint("merge"), "up", "left")
     root = F.length("path") == 0
     role = (
         F.when(F.col("height") >= levels, "skeleton")

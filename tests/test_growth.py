@@ -80,3 +80,7 @@ def test_val_error_order_grows_with_its_input(spark, made):
 
 def test_src_list_tiles_grows_with_its_input(spark, made):
     tile_plan(spark, made, "src_list_tiles")
+
+
+def test_hier_roles_grows_with_its_input(spark, made):
+    tile_plan(spark, made, "hier_roles")
