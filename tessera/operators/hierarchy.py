@@ -173,7 +173,10 @@ def top_error(root_error: Column, margin: float, diag: Column) -> Column:
 
 
 def unresolved(members: DataFrame, references: DataFrame, name: str = "name") -> DataFrame:
-    """References without a member and members without a reference, both by anti join."""
-    missing = references.select(name).distinct().join(members.select(name), name, "left_anti").select(name, F.lit("missing").alias("problem"))
-    unused = members.select(name).distinct().join(references.select(name), name, "left_anti").select(name, F.lit("unreferenced").alias("problem"))
-    return missing.unionByName(unused)
+    """References without a member and members without a reference, told by one aggregation over both; a null name resolves nothing."""
+    both = references.select(name, F.lit(True).alias("asked"), F.lit(False).alias("there")).unionByName(members.select(name, F.lit(False).alias("asked"), F.lit(True).alias("there")))
+    sides = both.groupBy(name).agg(F.max("asked").alias("asked"), F.max("there").alias("there"))
+    open_end = F.col(name).isNull()
+    missing = F.when(F.col("asked") & (~F.col("there") | open_end), "missing")
+    unused = F.when(F.col("there") & (~F.col("asked") | open_end), "unreferenced")
+    return sides.select(name, F.explode(F.array_compact(F.array(missing, unused))).alias("problem"))
