@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from conftest import compare
 
+from tessera.operators import graph, hierarchy
 from tessera.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -84,3 +85,34 @@ def test_src_list_tiles_grows_with_its_input(spark, made):
 
 def test_hier_roles_grows_with_its_input(spark, made):
     tile_plan(spark, made, "hier_roles")
+
+
+@pytest.mark.parametrize("name", ["geo_triangulate", "geo_valid"])
+def test_geometries_are_dealt_over_tasks(spark, made, name):
+    """One small file isn't one task's work."""
+    folder, con = made(part=PARTS + " WHERE k < 1500")
+    got, expected = compare(QUERIES[name](spark, folder), con, SQL[name])
+    assert got == expected
+    assert "hashpartitioning(p_partkey" in QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("under", ["", "t1"])
+def test_groups_cost_a_link_per_tile(spark, monkeypatch, under):
+    """200 vertices held by the same 12 tiles, also with one tile above some others: links don't grow with the vertices."""
+    seen = []
+    whole = graph.components
+    monkeypatch.setattr(graph, "components", lambda edges: (seen.append(edges.count()), whole(edges))[1])
+    tiles = [f"t{k}" for k in range(10, 21)] + [under or "u"]
+    holders = spark.createDataFrame([(v, t) for v in range(200) for t in tiles], "vertex long, path string")
+    got = {r["path"]: r["grp"] for r in graph.co_render_groups(holders).collect()}
+    # t1 is above t10 .. t19, but not above t20, so that it hangs together with that
+    assert got == dict.fromkeys(tiles, min(tiles))
+    assert seen[0] <= 2 * len(tiles)
+
+
+def test_unresolved_names_by_one_aggregation(spark):
+    members = spark.createDataFrame([(1,), (2,), (2,), (None,), (5,)], "name long")
+    references = spark.createDataFrame([(2,), (3,), (3,), (None,), (None,), (5,)], "name long")
+    found = hierarchy.unresolved(members, references)
+    assert sorted(map(repr, found.collect())) == sorted(f"Row(name={n}, problem='{p}')" for n, p in [(1, "unreferenced"), (3, "missing"), (None, "missing"), (None, "unreferenced")])
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
