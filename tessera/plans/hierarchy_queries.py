@@ -68,14 +68,15 @@ def _once(value: Column) -> Column:
 
 def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tile tree of all parts: keys fill the levels of a tree of four children a tile in order, so that it deepens as the table grows. Errors mostly fall.
+    Keys beyond level 30, the last one, begin it again.
 
     Paths are generated, not projected: the optimizer would copy their expression into every filter that is pushed below them.
     """
     k = F.col("p_partkey")
     level = F.when(k >= F.lit(_first(30)), 30).when(k > 0, F.length(_base4(k * 3 + 1)) - 1).otherwise(0)
     p = table(spark, sf_dir, "part").select(k, F.col("p_retailprice").cast("double").alias("error"), F.col("p_size").cast("long").alias("size"), _once(level).alias("level"))
-    at = _base4(k - F.expr("(shiftleft(1L, 2 * level) - 1) div 3"))
-    digits = F.when(F.col("level") > 0, F.right(F.lpad(at, F.col("level"), F.lit("0")), F.col("level"))).otherwise("")
+    at = (k - F.expr("(shiftleft(1L, 2 * level) - 1) div 3")).bitwiseAND(F.expr("shiftleft(1L, 2 * level) - 1"))
+    digits = F.when(F.col("level") > 0, F.lpad(_base4(at), F.col("level"), F.lit("0"))).otherwise("")
     parent = F.when(F.length("path") > 0, F.expr("substring(path, 1, length(path) - 1)"))
     return p.select("error", "size", _once(digits).alias("path")).select("path", "error", "size", _once(parent).alias("parent"))
 

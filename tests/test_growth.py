@@ -87,6 +87,32 @@ def test_hier_roles_grows_with_its_input(spark, made):
     tile_plan(spark, made, "hier_roles")
 
 
+def no_filter_computes_paths(spark, made, name):
+    """Level and path are written once in the plan, and no filter holds a copy of them, which would be work a row."""
+    folder, con = made(part=PARTS + " WHERE k < 1500")
+    got, expected = compare(QUERIES[name](spark, folder), con, SQL[name])
+    assert got == expected
+    plan = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "p_partkey#" in line]
+    assert plan.count("lpad(") == 1
+
+
+#: Parts beyond the last level's keys; no two have the same path.
+LAST = "SELECT ((1::BIGINT << 62) - 1) // 3 + d AS p_partkey, (1 + d % 50 * 37 % 50)::INT AS p_size, 900.0::DOUBLE + d % 97 AS p_retailprice FROM (SELECT range AS d FROM range(9) UNION ALL SELECT (1::BIGINT << (3 * n)::INT) + 77 FROM range(4, 21) t(n))"
+
+
+def last_level_begins_again(spark, made, name):
+    assert check(spark, made, name, part=LAST)
+
+
+def test_lod_skip_level_computes_paths_once(spark, made):
+    no_filter_computes_paths(spark, made, "lod_skip_level")
+
+
+def test_lod_skip_level_beyond_the_last_level(spark, made):
+    last_level_begins_again(spark, made, "lod_skip_level")
+
+
 @pytest.mark.parametrize("name", ["geo_triangulate", "geo_valid"])
 def test_geometries_are_dealt_over_tasks(spark, made, name):
     """One small file isn't one task's work."""
