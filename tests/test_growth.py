@@ -113,6 +113,14 @@ def test_lod_skip_level_beyond_the_last_level(spark, made):
     last_level_begins_again(spark, made, "lod_skip_level")
 
 
+def test_agg_leaf_fragments_computes_paths_once(spark, made):
+    no_filter_computes_paths(spark, made, "agg_leaf_fragments")
+
+
+def test_agg_leaf_fragments_beyond_the_last_level(spark, made):
+    last_level_begins_again(spark, made, "agg_leaf_fragments")
+
+
 @pytest.mark.parametrize("name", ["geo_triangulate", "geo_valid"])
 def test_geometries_are_dealt_over_tasks(spark, made, name):
     """One small file isn't one task's work."""
