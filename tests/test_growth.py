@@ -121,6 +121,10 @@ def test_agg_leaf_fragments_beyond_the_last_level(spark, made):
     last_level_begins_again(spark, made, "agg_leaf_fragments")
 
 
+def test_agg_top_error_computes_paths_once(spark, made):
+    no_filter_computes_paths(spark, made, "agg_top_error")
+
+
 @pytest.mark.parametrize("name", ["geo_triangulate", "geo_valid"])
 def test_geometries_are_dealt_over_tasks(spark, made, name):
     """One small file isn't one task's work."""
