@@ -72,9 +72,9 @@ def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Paths are generated, not projected: the optimizer would copy their expression into every filter that is pushed below them.
     """
-    k = F.col("p_partkey")
+    k = F.col("p_partkey").cast("long")
     level = F.when(k >= F.lit(_first(30)), 30).when(k > 0, F.length(_base4(k * 3 + 1)) - 1).otherwise(0)
-    p = table(spark, sf_dir, "part").select(k, F.col("p_retailprice").cast("double").alias("error"), F.col("p_size").cast("long").alias("size"), _once(level).alias("level"))
+    p = table(spark, sf_dir, "part").select(k.alias("p_partkey"), F.col("p_retailprice").cast("double").alias("error"), F.col("p_size").cast("long").alias("size"), _once(level).alias("level"))
     at = (k - F.expr("(shiftleft(1L, 2 * level) - 1) div 3")).bitwiseAND(F.expr("shiftleft(1L, 2 * level) - 1"))
     digits = F.when(F.col("level") > 0, F.lpad(_base4(at), F.col("level"), F.lit("0"))).otherwise("")
     parent = F.when(F.length("path") > 0, F.expr("substring(path, 1, length(path) - 1)"))

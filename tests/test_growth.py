@@ -121,6 +121,15 @@ def test_agg_leaf_fragments_beyond_the_last_level(spark, made):
     last_level_begins_again(spark, made, "agg_leaf_fragments")
 
 
+def int_keys(spark, made, name):
+    """Keys of 32 bits, up to the largest and with the root: three times such a key is no such number."""
+    assert check(spark, made, name, part="SELECT k::INT AS p_partkey, (1 + k % 50)::INT AS p_size, 900.0::DOUBLE + k % 97 AS p_retailprice FROM (SELECT range AS k FROM range(90) UNION ALL SELECT 2147483647 - range FROM range(90))")
+
+
+def test_agg_leaf_fragments_of_int_keys(spark, made):
+    int_keys(spark, made, "agg_leaf_fragments")
+
+
 def test_agg_top_error_computes_paths_once(spark, made):
     no_filter_computes_paths(spark, made, "agg_top_error")
 
