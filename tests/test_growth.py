@@ -134,6 +134,10 @@ def test_agg_top_error_computes_paths_once(spark, made):
     no_filter_computes_paths(spark, made, "agg_top_error")
 
 
+def test_agg_top_error_of_int_keys(spark, made):
+    int_keys(spark, made, "agg_top_error")
+
+
 @pytest.mark.parametrize("name", ["geo_triangulate", "geo_valid"])
 def test_geometries_are_dealt_over_tasks(spark, made, name):
     """One small file isn't one task's work."""
